@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, sharding, token_output
+from . import byte_bpe, chat_format, quality_rules, sharding, token_output
 from .shared import documents
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    chats = chat_format.format_chats(turns.unionByName(chat_format.extra_conversation(spark)))
+    return chat_format.digests(chats)
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -28,7 +34,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding]
+    found = [op1_chat_format, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding]
     return {f.__name__: f for f in found}
 
 
