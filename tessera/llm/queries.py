@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, quality_rules, sharding, token_output
+from . import byte_bpe, chat_format, near_dedup, quality_rules, sharding, token_output
 from .shared import documents
 
 
@@ -33,8 +33,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding]
+    found = [op1_chat_format, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op8_near_dedup]
     return {f.__name__: f for f in found}
 
 
