@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, near_dedup, quality_rules, sharding, token_output
+from . import byte_bpe, chat_format, near_dedup, phrases, quality_rules, sharding, token_output
 from .shared import documents
 
 
@@ -17,6 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chats)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeat_digests(documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -38,7 +42,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op8_near_dedup]
+    found = [op1_chat_format, op2_substring_dedup, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op8_near_dedup]
     return {f.__name__: f for f in found}
 
 
