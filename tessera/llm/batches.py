@@ -64,14 +64,19 @@ class Batch:
 class Batches:
     """The packed documents, stored once and bucketed by batch."""
 
-    def __init__(self, docs: DataFrame, rest: list[str] | None = None):
-        """``docs`` has doc_id and text; the columns of ``rest`` are carried along as JSON."""
+    def __init__(self, docs: DataFrame, rest: list[str] | None = None, ordered: bool = True):
+        """``docs`` has doc_id and text; the columns of ``rest`` are carried along as JSON.
+
+        Unordered batches are packed where the documents are read, without moving them.
+        """
         spark = docs.sparkSession
         self.spark, self.n = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = 2 * self.n
         carried = F.to_json(F.struct(*rest)) if rest else F.lit("")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("rest"))
-        packed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(_pack, PACKED)
+        if ordered:
+            rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        packed = rows.mapInPandas(_pack, PACKED)
         name = f"batches_{uuid.uuid4().hex[:12]}"
         packed.write.bucketBy(self.n, "batch_id").option("path", shared_folder(spark, "batches")).option("compression", "uncompressed").saveAsTable(name)
         self.table = spark.table(name)
@@ -95,22 +100,32 @@ class Batches:
     def _with(self, answers: dict[str, DataFrame], with_rest: bool = False) -> DataFrame:
         rows = self.table if with_rest else self.table.drop("rest")
         for name, answer in sorted(answers.items()):
-            of_batch = answer.groupBy("batch_id").agg(F.collect_list("bucket").alias(f"{name}_to"), F.collect_list("body").alias(f"{name}_body"))
+            of_batch = answer.filter("batch_id >= 0").groupBy("batch_id").agg(F.collect_list("bucket").alias(f"{name}_to"), F.collect_list("body").alias(f"{name}_body"))
             rows = rows.join(of_batch, "batch_id", "left")
         return rows
 
 
-def answered(messages: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], tag: str) -> DataFrame:
-    """Each bucket's answers: ``answer(batch_ids, bodies)`` gives one body a message, batches ascending."""
+def answered(messages: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes], bytes]], tag: str) -> DataFrame:
+    """Each bucket's answers, batches ascending.
+
+    ``answer(bodies)`` gives one body a message, and one for the driver, which
+    stands under batch -1 and is bounded, as there is one a bucket.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch_id", kind="stable")
-        bodies = answer(frame["batch_id"].tolist(), frame["body"].tolist())
-        return pd.DataFrame({"bucket": frame["bucket"].to_numpy(), "batch_id": frame["batch_id"].to_numpy(), "body": bodies})
+        bodies, told = answer(frame["body"].tolist())
+        ids, k = frame["batch_id"].tolist(), int(frame["bucket"].iloc[0])
+        return pd.DataFrame({"bucket": np.full(len(ids) + 1, k, dtype=np.int32), "batch_id": [*ids, -1], "body": [*bodies, told]})
 
     return saved(messages.groupBy("bucket").applyInPandas(run, MESSAGE), tag)
 
 
+def told(answers: DataFrame) -> list[bytes]:
+    """What the buckets have for the driver."""
+    return [bytes(r["body"]) for r in answers.filter("batch_id = -1").select("body").collect()]
+
+
 def _answers(row, names: list[str]) -> dict[str, dict[int, bytes]]:
     out = {}
     for name in names:
@@ -184,4 +199,4 @@ def gather(runs: list[tuple[int, slice]], total: int, answers: dict[int, bytes])
     return out
 
 
-__all__ = ["Batch", "Batches", "answered", "bits", "by_bucket", "gather", "unbits", "wordhash"]
+__all__ = ["Batch", "Batches", "answered", "bits", "by_bucket", "gather", "told", "unbits", "wordhash"]

@@ -97,7 +97,7 @@ def _split_anchors(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, "<u8", n), np.unpackbits(np.frombuffer(body, np.uint8, offset=8 * n))[:n]
 
 
-def _answer_anchors(ids: list[int], bodies: list[bytes]) -> list[bytes]:
+def _answer_anchors(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     """Bits: the anchor has two places or more in the corpus."""
     keys, twice = zip(*(_split_anchors(b) for b in bodies), strict=True)
     every = np.concatenate(keys)
@@ -105,7 +105,7 @@ def _answer_anchors(ids: list[int], bodies: list[bytes]) -> list[bytes]:
     weight = np.bincount(inverse, weights=1.0 + np.concatenate(twice), minlength=len(distinct))
     again = weight[inverse] > 1
     ends = np.cumsum([len(k) for k in keys])
-    return [bits(again[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
+    return [bits(again[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)], b""
 
 
 class _Suspects(_Anchored):
@@ -137,7 +137,7 @@ def _ask_windows(buckets: int):
     return make
 
 
-def _answer_windows(ids: list[int], bodies: list[bytes]) -> list[bytes]:
+def _answer_windows(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     """Bits: an earlier batch holds the window. Batches come in ascending order."""
     sizes = [len(b) // 12 for b in bodies]
     one = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(bodies, sizes, strict=True)])
@@ -148,7 +148,7 @@ def _answer_windows(ids: list[int], bodies: list[bytes]) -> list[bytes]:
     earlier = np.empty(len(order), dtype=bool)
     earlier[order] = ~first
     ends = np.cumsum(sizes)
-    return [bits(earlier[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+    return [bits(earlier[e - n : e]) for e, n in zip(ends, sizes, strict=True)], b""
 
 
 def _locate(numbers: np.ndarray, first: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from .shared import saved
 
 BUCKETS = 1 << 16
 #: Rows that a cell of the place numbering holds, about, before its bucket gets more salts.
-CELL = 4096
+CELL = 256
 #: Bytes a document counts besides its text.
 OVERHEAD = 8
 
