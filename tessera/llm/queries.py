@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, near_dedup, phrases, quality_rules, sharding, suffix_tree, token_output
+from . import byte_bpe, chat_format, fingerprints, near_dedup, phrases, quality_rules, sharding, suffix_tree, token_output
 from .shared import documents
 
 
@@ -37,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op2_substring_dedup, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op8_near_dedup, op10_lm_scoring]
+    found = [op1_chat_format, op2_substring_dedup, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_fingerprints, op8_near_dedup, op10_lm_scoring]
     return {f.__name__: f for f in found}
 
 
