@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, fingerprints, near_dedup, phrases, quality_rules, sharding, suffix_tree, token_output
+from . import byte_bpe, chat_format, fingerprints, mixing, near_dedup, phrases, quality_rules, sharding, suffix_tree, token_output
 from .shared import documents
 
 
@@ -45,12 +45,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op2_substring_dedup, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_fingerprints, op8_near_dedup, op10_lm_scoring]
+    found = [op1_chat_format, op2_substring_dedup, op3_token_output, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_fingerprints, op8_near_dedup, op9_mixing, op10_lm_scoring]
     return {f.__name__: f for f in found}
 
 
