@@ -7,12 +7,14 @@ A document's rate x >= 0 is how often it enters the mixture. With n tokens and
 posterior p, the mixture's expected tokens of domain k are sum(x n p_k). The rates
 minimise
 
-    1/2 sum_k (sum(x n p_k) - target_k)^2 / total^2  +  ridge/2 sum(n (x - 1)^2) / total
+    1/2 sum_k (sum(x n p_k) - target_k)^2 / had_k  +  ridge/2 sum(n (x - 1)^2)
 
-by projected gradient steps, whose only global quantities are the K domain sums:
-each step is one small aggregate over the stored posteriors. Steps are measured in
-tokens (a document's step doesn't depend on its length), with momentum, and stop
-when the sums no longer move.
+(had_k: the domain's expected tokens at rates 1) by projected gradient steps, whose
+only global quantities are the K domain sums: each step is one small aggregate over
+the stored posteriors. Steps are measured in tokens, so that a document's step does
+not depend on its length. Then the first term's curvature is similar to a
+stochastic matrix, whose largest eigenvalue is 1, and the step is 1 / (1 + ridge).
+Steps have momentum and stop when the sums no longer move.
 
 ``targets`` are the domains' weights. The total is such that the domain of the
 largest weight needs ``headroom`` times the tokens it has, so its documents enter
@@ -44,8 +46,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
 FEATURES = 1 << 15
 PRIOR = 50_000.0
-RIDGE, HEADROOM = 0.05, 1.05
-STEPS, STORE_EVERY, STILL = 60, 10, 1e-7
+RIDGE, HEADROOM = 0.001, 1.05
+STEPS, STORE_EVERY, STILL = 60, 10, 1e-6
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -117,15 +119,13 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: f
         return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had}
     lead = max(k_all, key=lambda k: weights[k])
     goal = [headroom * had[lead] * w / weights[lead] for w in weights]
-    # The largest eigenvalue of sum(n p p') / total is at most its trace; with the ridge it bounds the curvature.
-    trace = rows.agg(F.sum(F.col("n_tokens") * sum(F.col(f"p{k}") * F.col(f"p{k}") for k in k_all))).first()[0]
-    rate = 1.0 / (float(trace) / total + ridge)
+    rate = 1.0 / (1.0 + ridge)
     # x: the point; y: the point with momentum, where the gradient is taken.
     state = rows.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
     momentum, got = 1.0, had
     sums_x, sums_y = had, had
     for step in range(1, STEPS + 1):
-        pull = [(sums_y[k] - goal[k]) / total for k in k_all]
+        pull = [(sums_y[k] - goal[k]) / had[k] if had[k] else 0.0 for k in k_all]
         new = F.greatest(F.lit(0.0), F.col("y") - rate * (sum(F.lit(pull[k]) * F.col(f"p{k}") for k in k_all) + ridge * (F.col("y") - 1)))
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         beta = (momentum - 1) / after
