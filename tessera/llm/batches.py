@@ -32,7 +32,7 @@ from . import wordhash
 from .shared import saved, shared_folder
 
 #: Characters of a batch, about; one longer document makes a batch of its own.
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 PACKED = T.StructType(
     [
@@ -76,7 +76,7 @@ class Batches:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("rest"))
         if ordered:
             rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-        packed = rows.mapInPandas(_pack, PACKED)
+        packed = rows.mapInPandas(_packer(CHARS), PACKED)
         name = f"batches_{uuid.uuid4().hex[:12]}"
         packed.write.bucketBy(self.n, "batch_id").option("path", shared_folder(spark, "batches")).option("compression", "uncompressed").saveAsTable(name)
         self.table = spark.table(name)
@@ -93,6 +93,7 @@ class Batches:
             for frame in frames:
                 for row in frame.itertuples(index=False):
                     yield make(Batch(row, with_rest), _answers(row, names))
+                    wordhash.trim()
 
         names = sorted(answers)
         return self._with(answers, with_rest).mapInPandas(run, schema)
@@ -116,6 +117,7 @@ def answered(messages: DataFrame, answer: Callable[[list[bytes]], tuple[list[byt
         frame = frame.sort_values("batch_id", kind="stable")
         bodies, told = answer(frame["body"].tolist())
         ids, k = frame["batch_id"].tolist(), int(frame["bucket"].iloc[0])
+        wordhash.trim()
         return pd.DataFrame({"bucket": np.full(len(ids) + 1, k, dtype=np.int32), "batch_id": [*ids, -1], "body": [*bodies, told]})
 
     return saved(messages.groupBy("bucket").applyInPandas(run, MESSAGE), tag)
@@ -141,37 +143,44 @@ def _over_batches(make: Callable, names: list[str], schema: str):
                 batch = Batch(row)
                 found = list(make(batch, _answers(row, names)))
                 yield pd.DataFrame({"bucket": [k for k, _ in found], "batch_id": [batch.batch_id] * len(found), "body": [b for _, b in found]}).astype({"bucket": "int32", "batch_id": "int64"})
+                del batch, found
+                wordhash.trim()
 
     return run
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    number, part = 0, TaskContext.get().partitionId()
-    ids: list[int | None] = []
-    parts: list[bytes] = []
-    lens: list[int] = []
-    rest: list[str] = []
-    press = zstandard.ZstdCompressor(level=3)
-
-    def row() -> pd.DataFrame:
-        made = (part << 32 | number, list(ids), np.array(lens, dtype="<i8").tobytes(), press.compress(b"".join(parts)), press.compress("\n".join(rest).encode("utf-8", "surrogatepass")))
-        return pd.DataFrame([made], columns=PACKED.names)
-
-    used = 0
-    for frame in frames:
-        for doc_id, text, more in zip(frame["doc_id"], frame["text"], frame["rest"], strict=True):
-            is_text = isinstance(text, str)
-            if ids and used + (len(text) if is_text else 0) > CHARS:
-                yield row()
-                number, ids, parts, lens, rest, used = number + 1, [], [], [], [], 0
-            raw = text.encode("utf-8", "surrogatepass") if is_text else b""
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
-            parts.append(raw)
-            lens.append(len(raw) if is_text else -1)
-            rest.append(more)
-            used += len(text) if is_text else 0
-    if ids:
-        yield row()
+def _packer(chars: int):
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, part = 0, TaskContext.get().partitionId()
+        ids: list[int | None] = []
+        parts: list[bytes] = []
+        lens: list[int] = []
+        rest: list[str] = []
+        press = zstandard.ZstdCompressor(level=3)
+
+        def row() -> pd.DataFrame:
+            made = (part << 32 | number, list(ids), np.array(lens, dtype="<i8").tobytes(), press.compress(b"".join(parts)), press.compress("\n".join(rest).encode("utf-8", "surrogatepass")))
+            return pd.DataFrame([made], columns=PACKED.names)
+
+        used = 0
+        for frame in frames:
+            for doc_id, text, more in zip(frame["doc_id"], frame["text"], frame["rest"], strict=True):
+                is_text = isinstance(text, str)
+                if ids and used + (len(text) if is_text else 0) > chars:
+                    yield row()
+                    number, ids, parts, lens, rest, used = number + 1, [], [], [], [], 0
+                raw = text.encode("utf-8", "surrogatepass") if is_text else b""
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                parts.append(raw)
+                lens.append(len(raw) if is_text else -1)
+                rest.append(more)
+                used += len(text) if is_text else 0
+        if ids:
+            yield row()
+        ids, parts, rest = [], [], []
+        wordhash.trim()
+
+    return pack
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
@@ -199,4 +208,4 @@ def gather(runs: list[tuple[int, slice]], total: int, answers: dict[int, bytes])
     return out
 
 
-__all__ = ["Batch", "Batches", "answered", "bits", "by_bucket", "gather", "told", "unbits", "wordhash"]
+__all__ = ["Batch", "Batches", "answered", "bits", "by_bucket", "gather", "told", "unbits"]

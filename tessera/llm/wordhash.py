@@ -9,11 +9,26 @@ values, so two seeds give 128 independent bits.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
+
+try:  # glibc: large arrays stand apart from the heap, and go back to the system when they are freed
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.mallopt(-3, 1 << 18)
+except (OSError, AttributeError):
+    _LIBC = None
+
+
+def trim() -> None:
+    """Give freed memory back, as a worker that waits for its next task would keep it."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,9 +92,6 @@ class Words:
         back = _powers(_inverse(base), n + 1)
         return mix((prefix[self.end] - prefix[self.start]) * back[self.start] + (self.end - self.start).astype(U))
 
-    def __len__(self) -> int:
-        return len(self.texts)
-
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
