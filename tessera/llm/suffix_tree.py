@@ -1,9 +1,10 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 States are contexts of 0, 1 or 2 preceding words, all learned from the corpus. A
-context with ``LEAST`` training occurrences or more is a candidate; it is retained
-if its next-word distribution diverges from its parent's (the context without its
-first word): the mean gain in log probability of its own observations, each left
+context with ``SHARE`` of the training tokens, and ``LEAST`` occurrences, or more is
+a candidate; so candidates cover the same part of the text at any size. It is retained
+if its next-word distribution diverges from its parent's (its longest retained
+suffix): the mean gain in log probability of its own observations, each left
 out of the counts in turn, must reach ``GAIN``. A state's distribution is smoothed
 towards its parent's with as many pseudo-observations, of ``MASSES``, as give it
 the most gain, down to the root, which is the add-one unigram model. A word is scored by the longest retained suffix of the
@@ -39,8 +40,8 @@ from pyspark.sql import types as T
 from . import wordhash
 from .batches import Batch, Batches, answered, by_bucket, told
 
-#: Training occurrences that make a context a candidate; mean gain in nats that retains it.
-LEAST, GAIN = 100, 0.02
+#: A context is a candidate with this share of the training tokens, and so many occurrences; mean gain in nats that retains it.
+SHARE, LEAST, GAIN = 1e-5, 50, 0.02
 #: Pseudo-observations from the parent that a state's distribution may have.
 MASSES = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0)
 FOLDS, HELD = 7, 2
@@ -261,17 +262,17 @@ class _Model:
         self.count = _words(t, answers["words"], buckets)[t.entry]
         self.root = (self.count + 1.0) / (n + v + 1.0)
         self.p = self.root.copy()
-        self.kept = np.zeros(len(t.hash), dtype=bool)  # the last depth's context before a token is retained
         self.pair_count = np.zeros(len(t.hash), dtype=np.int64)
         at = t.after[1]
-        at = at[self.count[at - 1] >= LEAST]
+        least = max(LEAST, SHARE * n)
+        at = at[self.count[at - 1] >= least]
         self.pairs = _Pairs(t, at, t.hash[at - 1], self.count[at - 1], self.share)
         if "pairs" in answers:
             self._learn(answers["pairs"], buckets, large.get(1, {}))
             one = self.pair_count
             at = t.after[2]
-            # The longer context is the pair that ends at the word before; its parent must be retained.
-            at = at[self.kept[at] & (one[at - 1] >= LEAST)]
+            # The longer context is the pair that ends at the word before; its parent is the longest retained suffix.
+            at = at[one[at - 1] >= least]
             self.pairs = _Pairs(t, at, wordhash.mix(t.hash[at - 2] ^ U(0x2545F4914F6CDD1D)) + t.hash[at - 1], one[at - 1], self.share)
         if "triples" in answers:
             self._learn(answers["triples"], buckets, large.get(2, {}))
@@ -282,8 +283,6 @@ class _Model:
         mine, verdict = total[q.entry], kept[q.group_of][q.entry]
         self.pair_count = np.zeros(len(self.p), dtype=np.int64)
         self.pair_count[q.at] = mine
-        self.kept = np.zeros(len(self.p), dtype=bool)
-        self.kept[q.at] = verdict > 0
         mass = np.array([np.inf, *MASSES])[verdict]
         at, mass, mine, n = q.at[verdict > 0], mass[verdict > 0], mine[verdict > 0], q.count_at[verdict > 0]
         self.p[at] = (mine + mass * self.p[at]) / (n + mass)
