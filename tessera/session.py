@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "4g"),
 }
 
 
