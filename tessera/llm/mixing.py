@@ -21,15 +21,22 @@ largest weight needs ``headroom`` times the tokens it has, so its documents ente
 whole and the others are thinned, or repeated, to their weights. ``copies`` rounds a rate up or down by a hash of the document, so that the
 mixture's expected tokens are as fitted.
 
-The classifier's table has ``FEATURES`` rows a domain, at any size of the corpus,
-and is a literal in the plan. Its likelihoods are smoothed towards the whole labelled
-text by ``PRIOR`` pseudo-words, so that rare words of a small class stay mild.
-
-Cases: a null or blank text has no tokens, the prior as its posterior and rate 1; a
-null label counts as 0; a document with several labels counts for each; without
-labels every posterior is even; repeated rows have equal rates; a null id is
-hashed as such; an empty table gives an empty result; other columns are ignored, or
-carried along by ``mix_documents``.
+The classifier is learned on half of a sample of ``SAMPLE`` labelled documents, the
+least by a hash of the id, so the sample is small enough to broadcast at any size
+of the corpus, and texts need not move. Likelihoods are smoothed towards the whole
+labelled text by ``PRIOR`` pseudo-words. Words of one text aren't independent, so
+log likelihood ratios are multiplied by the factor, of ``FACTORS``, with the least
+log loss on the sample's other half. The table has ``FEATURES`` rows a domain and
+is a literal in the plan.
+
+``mix_documents`` thins: documents whose likeliest domain is the one of the largest
+weight enter whole, and the others by their rates, once at most.
+
+Cases: a null or blank text has no tokens and the prior as its posterior; a null
+label counts as 0; a document with several labels counts for each; without labels
+every posterior is even; repeated rows have equal rates; a null id is hashed as
+such; an empty table gives an empty result; other columns are ignored, or carried
+along by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -39,39 +46,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, saved, words_of
+from .shared import let, saved
 
 DOMAINS = ("good", "poor", "toxic")
 #: Weights of the domains in the mixture.
 TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
-FEATURES = 1 << 15
-PRIOR = 50_000.0
+FEATURES = 1 << 13
+PRIOR = 20_000.0
+SAMPLE = 50_000
+FACTORS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
 RIDGE, HEADROOM = 0.001, 1.05
 STEPS, STORE_EVERY, STILL = 60, 10, 1e-6
 
 
-def domain_of(labels: DataFrame) -> DataFrame:
-    """Labelled ids with their domain's number."""
+def sampled(labels: DataFrame) -> DataFrame:
+    """At most ``SAMPLE`` labelled ids with their domain's number, and whether they calibrate."""
     toxic, good = F.coalesce(F.col("toxic"), F.lit(0)) == 1, F.coalesce(F.col("quality"), F.lit(0)) == 1
-    k = F.when(toxic, 2).when(good, 0).otherwise(1)
-    return labels.select(F.col("doc_id").cast("long").alias("label_id"), k.alias("k")).distinct()
+    rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.when(toxic, 2).when(good, 0).otherwise(1).alias("k")).distinct()
+    order = F.xxhash64("label_id", F.lit("sample"))
+    return saved(rows.orderBy(order, "k").limit(SAMPLE).withColumn("calibrates", F.pmod(F.xxhash64("label_id"), F.lit(2)) == 1), "sample")
 
 
 def features(text: Column) -> Column:
-    """Hashed words, A to Z in lower case."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(words_of(lower), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
+    """Hashed words without marks, A to Z in lower case."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.transform(F.array_remove(F.split(lower, r"[ \x09-\x0D.,!?;:]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and each feature's log likelihood by domain, from all labelled documents."""
-    wanted = domain_of(labels)
-    known = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(wanted, "label_id")
+def learn(docs: DataFrame, sample: DataFrame) -> tuple[list[float], list[list[float]]]:
+    """Log priors of the domains, and each feature's log likelihood by domain, from the sample's learning half."""
+    half = sample.filter("not calibrates")
+    known = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(half), "label_id")
     words = known.select("k", F.explode(features(F.col("text"))).alias("f"))
     counts = words.groupBy("k", "f").agg(F.count(F.lit(1)).alias("c")).collect()  # at most FEATURES rows a domain
-    sizes = known.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()
     n = [1.0] * len(DOMAINS)
-    for r in sizes:
+    for r in sample.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect():
         n[r["k"]] += r["c"]
     table = [[0.0] * len(DOMAINS) for _ in range(FEATURES)]
     for r in counts:
@@ -82,21 +91,35 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[list[fl
     return [math.log(x / sum(n)) for x in n], [[math.log((x + PRIOR * q) / (s + PRIOR)) for x, s in zip(row, sums, strict=True)] for row, q in zip(table, share, strict=True)]
 
 
+def _with_posterior(rows: DataFrame, prior: list[float], factor: float) -> DataFrame:
+    """``rows`` (s1, s2, ...) with p0, p1, ..."""
+    score = [F.lit(prior[0]), *(F.lit(prior[k]) + F.lit(factor) * F.col(f"s{k}") for k in range(1, len(DOMAINS)))]
+    top = F.greatest(*score)
+    parts = [F.exp(x - top) for x in score]
+    return rows.withColumns({f"p{k}": x / sum(parts[1:], parts[0]) for k, x in enumerate(parts)})
+
+
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``n_tokens`` and one posterior a domain: p0, p1, ..."""
-    prior, table = learn(docs, labels)
+    """``docs`` without the text, with ``n_tokens`` and one posterior a domain: p0, p1, ..."""
+    sample = sampled(labels)
+    prior, table = learn(docs, sample)
     rest = range(1, len(DOMAINS))
     # Log likelihood ratios against the first domain: one array each, folded to a literal by the optimizer.
-    ratio = {k: F.split(F.lit(",".join(f"{row[k] - row[0]:.6g}" for row in table)), ",").cast("array<double>") for k in rest}
+    ratio = {k: F.split(F.lit(",".join(f"{row[k] - row[0]:.4g}" for row in table)), ",").cast("array<double>") for k in rest}
     rows = docs.withColumn("_f", features(F.col("text")))
-    # A literal row beside each feature list; bound once, then read by place.
-    sums = F.struct(*(let(ratio[k], lambda t: F.aggregate("_f", F.lit(0.0), lambda a, f: a + F.get(t, f))).alias(f"s{k}") for k in rest))
-    rows = rows.withColumn("n_tokens", F.size("_f").cast("long")).withColumn("_s", sums).drop("_f")
-    score = {0: F.lit(prior[0])} | {k: F.lit(prior[k]) + F.col("_s")[f"s{k}"] for k in rest}
-    top = F.greatest(*score.values())
-    rows = rows.withColumn("_e", F.array(*(F.exp(score[k] - top) for k in range(len(DOMAINS))))).drop("_s")
-    total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumns({f"p{k}": F.get("_e", F.lit(k)) / total for k in range(len(DOMAINS))}).drop("_e")
+    sums = {f"s{k}": let(ratio[k], lambda t: F.aggregate("_f", F.lit(0.0), lambda a, f: a + F.get(t, f))) for k in rest}
+    rows = saved(rows.withColumns({"n_tokens": F.size("_f").cast("long")} | sums).drop("_f", "text"), "scores")
+    other = sample.filter("calibrates").select("label_id", "k")
+    tested = rows.select("doc_id", *sums).join(F.broadcast(other), F.col("doc_id") == F.col("label_id"))
+    loss = []
+    for i, factor in enumerate(FACTORS):
+        p = _with_posterior(tested, prior, factor)
+        hit = F.when(F.col("k") == 0, F.col("p0")).when(F.col("k") == 1, F.col("p1")).otherwise(F.col("p2"))
+        tested = p.withColumn(f"loss{i}", -F.log(F.greatest(hit, F.lit(1e-12)))).drop("p0", "p1", "p2")
+        loss.append(F.avg(f"loss{i}").alias(f"loss{i}"))
+    found = tested.agg(*loss).first()
+    best = min(range(len(FACTORS)), key=lambda i: (found[i] if found[i] is not None else 0.0, i))
+    return _with_posterior(rows, prior, FACTORS[best])
 
 
 def _sums(rows: DataFrame, weight: Column) -> list[float]:
@@ -150,8 +173,7 @@ def copies(rate: Column, *key: Column) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document's tokens, posteriors, rate and copies."""
-    rows = saved(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).drop("text"), "posteriors")
-    fitted, _ = fit_rates(rows)
+    fitted, _ = fit_rates(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels))
     names = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return fitted.select("doc_id", "n_tokens", *names, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
@@ -159,6 +181,15 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that enter the mixture, once each, with all their columns."""
     inner = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(posteriors(inner, labels).drop("text"), "posteriors")
-    fitted, _ = fit_rates(rows)
-    return fitted.filter(copies(F.col("rate"), F.col("doc_id")) > 0).select("_row.*")
+    rows = posteriors(inner, labels)
+    narrow, _ = fit_rates(rows.drop("_row"))
+    lead = max(range(len(DOMAINS)), key=lambda k: TARGETS[DOMAINS[k]])
+    thinned = F.col(f"p{lead}") < F.greatest(*(F.col(f"p{k}") for k in range(len(DOMAINS))))
+    # A rate depends on the posteriors alone, so it is looked up by the row's own.
+    keys = ["doc_id", "n_tokens", *(f"s{k}" for k in range(1, len(DOMAINS)))]
+    chosen = narrow.filter(thinned & (copies(F.col("rate"), F.col("doc_id")) == 0)).select(*keys).distinct()
+    chosen = saved(chosen, "left-out").select(*(F.col(c).alias(f"_{c}") for c in keys))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(chosen, same, "left_anti").select("_row.*")
