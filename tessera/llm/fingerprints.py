@@ -1,7 +1,7 @@
 """Document fingerprints by closed syncmers, in DataFrame operations only.
 
 A k-mer is ``K`` consecutive words (in short texts, besides, ``K`` characters), and
-its inner substrings are runs of ``S`` of them. It is an anchor if its inner substring with the least hash stands at either
+its inner substrings are its single words. It is an anchor if its inner substring with the least hash stands at either
 edge. That depends on the k-mer alone, so equal passages have equal anchors
 wherever they stand. A fingerprint lists each anchor's 32-bit hash together with
 the distance to the next anchor: two anchors match only where the next one follows
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import let, saved, words_of
 
-K, S = 8, 2
-INNER = K - S + 1
+K = 8
 #: Texts with fewer words have anchors over their characters besides.
 SHORT = 32
 
@@ -49,20 +48,15 @@ def _syncmers(hashes: Column) -> Column:
     """Entries over a sequence of hashed symbols."""
 
     def pick(h: Column) -> Column:
-        inner = F.transform(F.slice(h, 1, F.greatest(F.size(h) - (S - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        return let(inner, lambda m: edges(h, m))
-
-    def edges(h: Column, m: Column) -> Column:
-        # For each k-mer: its place where it is closed, else -1.
-        place = F.transform(
-            F.slice(m, 1, F.greatest(F.size(m) - (INNER - 1), F.lit(0))),
-            lambda x, i: let(F.array_min(F.slice(m, i + 1, INNER)), lambda least: F.when((x == least) | (F.get(m, i + INNER - 1) == least), i).otherwise(-1)),
-        )
-        return let(F.array_remove(place, -1), lambda p: entries(h, p))
+        # For each k-mer: its place where the least inner hash is the first or the last, else -1.
+        starts = F.slice(h, 1, F.greatest(F.size(h) - (K - 1), F.lit(0)))
+        closed = lambda x, i: F.array_min(F.slice(h, i + 1, K)).isin(x, F.get(h, i + K - 1))
+        places = F.transform(starts, lambda x, i: F.when(closed(x, i), i).otherwise(-1))
+        return let(F.array_remove(places, -1), lambda p: entries(h, p))
 
     def entries(h: Column, p: Column) -> Column:
         # The last anchor has no next one: distance 0.
-        return F.transform(p, lambda i, j: _short(F.xxhash64(*(F.get(h, i + k) for k in range(K)), F.coalesce(F.get(p, j + 1) - i, F.lit(0)))))
+        return F.transform(p, lambda i, j: _short(F.xxhash64(F.slice(h, i + 1, K), F.coalesce(F.get(p, j + 1) - i, F.lit(0)))))
 
     few = lambda h: F.transform(h, _short)
     return let(hashes, lambda h: F.when(F.size(h) < K, few(h)).otherwise(pick(h)))
@@ -108,12 +102,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         rows = rows.dropDuplicates(["k", "h"])
     keys = groups.select("k", "h", "n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     follow = successors(keys).withColumn("cut", F.floor(F.col("n") / 4).cast("int")).drop("copy")
-    full = rows.withColumn("entries", anchors(F.col("text")))
-    there = full.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("text").alias("next_text"), F.col("entries").alias("next_entries"))
-    tails = follow.join(there, ["nk", "nh"]).select("k", "h", "n", "cut", F.expr("substring(next_text, 1, cut)").alias("tail"), "next_entries")
-    both = tails.join(full, ["k", "h"])
+    there = rows.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("text").alias("next_text"))
+    tails = follow.join(there, ["nk", "nh"]).select("k", "h", "n", "cut", F.expr("substring(next_text, 1, cut)").alias("tail"), anchors(F.col("next_text")).alias("next_entries"))
+    both = tails.join(rows, ["k", "h"])
     edited = F.concat(F.expr("substring(text, 1, n - cut)"), F.col("tail"))
-    marked = both.select("k", "n", "entries", "next_entries", edited.alias("edited"))
+    marked = both.select("k", "n", anchors(F.col("text")).alias("entries"), "next_entries", edited.alias("edited"))
     marked = marked.withColumn("edited_entries", anchors(F.col("edited")))
     return marked.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
