@@ -86,14 +86,14 @@ def article_range(text: str | None) -> tuple[int, int] | None:
 
 # Kinds of instruments.
 KINDS = {"قانون": "law", "مرسوم": "decree", "مرسوم تشريعي": "legislative_decree", "قرار": "decision", "تعميم": "circular", "نظام": "regulation"}
-_KIND = "|".join(re.escape(k).replace("\\ ", r"\s+") for k in sorted(KINDS, key=len, reverse=True))
+_KIND = "|".join(re.escape(k).replace("\\ ", r"\s+(?:ال)?") for k in sorted(KINDS, key=len, reverse=True))
 _YEAR = r"(?:لعام|لسنة|عام|سنة|تاريخ\s+[\d٠-٩]+\s*/\s*[\d٠-٩]+\s*/)\s*([\d٠-٩]{4})"
 _IDENTITY = re.compile(rf"(?:ال)?({_KIND})(?:\s+ال\w+)?\s*(?:ذي\s+)?(?:ال)?(?:رقم)?\s*[/(]?\s*([\d٠-٩]+)\s*[/)]?.{{0,30}}?{_YEAR}", re.S)
 FIRST_YEAR, LAST_YEAR = 1920, 2100
 
 
 def _accepted(m: re.Match) -> tuple[str, int, int] | None:
-    kind = KINDS[" ".join(m[1].split())]
+    kind = KINDS[" ".join(w.removeprefix("ال") for w in m[1].split())]
     number, year = int(western(m[2])), int(western(m[3]))
     return (kind, number, year) if number > 0 and FIRST_YEAR <= year <= LAST_YEAR else None
 
