@@ -139,3 +139,50 @@ def test_package(spark):
     files = spark.createDataFrame([("a", "1", 1), ("b", "x", 2), ("z", "9", 1)], "path string, sha string, bytes int")
     assert package.gate(index, files).first().asDict() == {"listed": 4, "duplicate_paths": 1, "missing": 1, "wrong_hash": 1, "wrong_size": 1, "unlisted": 1}
     assert value(spark, package.file_name(F.col("t")), t=' a/b:  c" ') == "ab_c"
+
+
+def test_landing(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    from tessera.sources import landing
+
+    xml = spark.createDataFrame([("s", "<urlset><url><loc> http://a/law/1 </loc></url><loc>http://a/page/2</loc><loc>http://a/law/1</loc></urlset>")], "source string, body string")
+    assert [r["url"] for r in landing.sitemap_urls(xml, ["/law/"]).collect()] == ["http://a/law/1"]
+    robots = spark.createDataFrame([("a.org", "User-agent: *\nSitemap: https://a.org/s.xml\n"), ("b.org", "")], "host string, body string")
+    assert sorted(r["sitemap"] for r in landing.robots_sitemaps(robots).collect()) == ["https://a.org/s.xml", "https://b.org/sitemap.xml"]
+    feed = {"feed": {"entry": [{"title": {"$t": "T"}, "content": {"$t": "<p>x"}, "link": [{"rel": "self", "href": "no"}, {"rel": "alternate", "href": "http://b/1"}]}]}}
+    (tmp_path / "feed.json").write_text(json.dumps(feed))
+    assert landing.feed_posts(spark, str(tmp_path / "feed.json")).first().asDict() == {"url": "http://b/1", "title": "T", "html": "<p>x"}
+    (tmp_path / "posts.json").write_text(json.dumps([{"id": i, "title": {"rendered": t}, "content": {"rendered": ""}} for i, t in ((1, "article 2"), (2, "article 1"), (3, "heading"))]))
+    assert [r["number"] for r in landing.numbered_posts(spark, str(tmp_path / "posts.json")).collect()] == [1, 2, None]
+    cdx = spark.createDataFrame([("http://f/t1-x?sid=9", "20200101"), ("http://f/t1-x", "20100101"), ("http://f/t1-x", "20110101")], "url string, timestamp string")
+    assert landing.thread_map(cdx).first().asDict() == {"thread": "1", "url": "http://f/t1-x", "timestamp": "20110101"}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "نص")
+        z.writestr("b.txt", "نص".encode("windows-1256"))
+    files = spark.createDataFrame([("x.zip", packed.getvalue()), ("y.html", b"<html>"), ("z.zip", b"PK\x03\x04broken")], "path string, content binary")
+    assert [r[0] for r in files.select(landing.kind(F.col("content"))).collect()] == ["zip", "html", "zip"]
+    got = {r["source"]: (r["text"], r["error"]) for r in landing.file_texts(files).collect()}
+    assert got == {"x.zip#a.txt": ("نص", None), "x.zip#b.txt": ("نص", None), "y.html": ("<html>", None), "z.zip": (None, "BadZipFile")}
+
+
+def test_parts(spark):
+    from tessera.operators import parts
+
+    made = [(277, 30, None, "كهرباء الريف", 1, 9), (278, 30, None, "كهرباء الريف", 10, 40), (280, 30, 2010, "قانون السير", 1, 60), (281, 30, 2010, "قانون السير", 61, 90), (290, 31, None, "وحيد", 1, 5)]
+    got = {r["id"]: (r["part_of"], r["year"]) for r in parts.link_parts(spark.createDataFrame(made, "id long, number int, year int, title string, lo int, hi int")).collect()}
+    assert got == {277: (278, None), 278: (None, None), 280: (None, 2010), 281: (280, 2010)}
+    assert parts.near_identical((1, 100), (1, 95)) and not parts.near_identical((1, 10), (1, 10))
+
+
+def test_package_is_written(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "T", 5, 2001, "active", [("1", "body")]), (2, "T", 5, 2002, "active", [])], "id long, title string, number int, year int, status string, articles array<struct<number:string,text:string>>")
+    package.write(docs, str(tmp_path / "p"))
+    assert sorted(r["local_path"] for r in spark.read.parquet(f"{tmp_path}/p/files").collect()) == ["T.md", "T_2.md"]
+    assert spark.read.json(f"{tmp_path}/p/manifest").first()["files"] == 2
+    assert package.index_text([(1, "a", "b,c", 1, 2, "s", "h", 3)]).startswith("﻿id,") and '"b,c"' in package.index_text([(1, "a", "b,c", 1, 2, "s", "h", 3)])
+    both = package.merged(spark.createDataFrame([(1, "a", "old"), (2, "b", "keep")], "id int, local_path string, v string"), spark.createDataFrame([(1, "a", "new")], "id int, local_path string, v string"))
+    assert sorted(r["v"] for r in both.collect()) == ["keep", "new"]
