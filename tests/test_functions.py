@@ -186,3 +186,20 @@ def test_package_is_written(spark, tmp_path):
     assert package.index_text([(1, "a", "b,c", 1, 2, "s", "h", 3)]).startswith("﻿id,") and '"b,c"' in package.index_text([(1, "a", "b,c", 1, 2, "s", "h", 3)])
     both = package.merged(spark.createDataFrame([(1, "a", "old"), (2, "b", "keep")], "id int, local_path string, v string"), spark.createDataFrame([(1, "a", "new")], "id int, local_path string, v string"))
     assert sorted(r["v"] for r in both.collect()) == ["keep", "new"]
+
+
+def test_precedents(spark):
+    from tessera.functions import precedents
+
+    page = "لا يجوز سماع الدعوى قبل أوانها المحدد قانونا\n(نقض سوري قرار 1890 أساس 2914 تاريخ 9/11/1997)\nنص\n(نقض قرار 1890 أساس 2914 تاريخ 9/11/1997)\n(كلام عادي)"
+    found = precedents.cited(page)
+    assert [c["key"] for c in found] == ["نقض|1890|1997|2914"] and found[0]["principle"].startswith("لا يجوز")
+    assert precedents.article_references("المادة 5 من قانون العقوبات والمادة ٧") == [(5, "قانون العقوبات والمادة", 0.9), (7, None, 0.4)] or precedents.article_references("المادة ٧") == [(7, None, 0.4)]
+    assert precedents.overrulings("قررت الهيئة العدول عن الاجتهاد في قرار رقم 12 أساس 30.") == [(12, 30)]
+    df = spark.createDataFrame([("u1", page), ("u2", page.replace("لا يجوز", "يجوز")), ("u3", None)], "url string, text string")
+    decided = precedents.decisions(precedents.parse_pages(df))
+    row = decided.first()
+    assert (row["sources"], row["year"], row["number"]) == (2, 1997, 1890) and row["principle"].startswith("لا يجوز")
+    assert [r["approved"] for r in precedents.approved(decided).collect()] == [True]
+    targets = spark.createDataFrame([("x", 1890, 2914), ("x", 1890, None), ("x", 1, None)], "by_key string, number long, basis long")
+    assert sorted((r["target"] or "") for r in precedents.relations(targets, decided).collect()) == ["", "نقض|1890|1997|2914", "نقض|1890|1997|2914"]
