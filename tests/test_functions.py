@@ -203,3 +203,46 @@ def test_precedents(spark):
     assert [r["approved"] for r in precedents.approved(decided).collect()] == [True]
     targets = spark.createDataFrame([("x", 1890, 2914), ("x", 1890, None), ("x", 1, None)], "by_key string, number long, basis long")
     assert sorted((r["target"] or "") for r in precedents.relations(targets, decided).collect()) == ["", "نقض|1890|1997|2914", "نقض|1890|1997|2914"]
+
+
+def test_law_graph(spark):
+    from tessera.operators import law_graph
+
+    docs = spark.createDataFrame(
+        [
+            (1, "law:1:2000", "قانون أول", 2000, "active", None, "نص القانون"),
+            (2, "law:2:2005", "قانون ثان", 2005, "active", "instrument", "يلغى القانون رقم 1 لعام 2000 ويعمل بهذا"),
+            (3, "law:3:1990", "قانون ثالث", 1990, "active", "instrument", "يعدل القانون رقم 2 لعام 2005"),
+            (4, "law:4:2010", "مناقشة", 2010, "active", "travaux", "يلغى القانون رقم 2 لعام 2005"),
+            (5, "law:5:2011", "خامس", 2011, "active", "instrument", "يعدل المرسوم رقم 9 لعام 1999"),
+        ],
+        "id long, identity string, title string, year int, status string, nature string, text string",
+    )
+    found = law_graph.edges(docs)
+    assert sorted((r["source_id"], r["target"], r["action"]) for r in found.collect()) == [(2, "law:1:2000", "repeal"), (3, "law:2:2005", "amend"), (4, "law:2:2005", "repeal"), (5, "decree:9:1999", "amend")]
+    status = {r["id"]: r["legal_status"] for r in law_graph.legal_status(docs, found).collect()}
+    assert status == {1: "repealed", 2: "in_force", 3: "in_force", 4: "in_force", 5: "in_force"}  # older, and no instrument
+    assert [(r["target"], r["score"]) for r in law_graph.missing_targets(docs, found).collect()] == [("decree:9:1999", 3)]
+    assert law_graph.queries_for(law_graph.missing_targets(docs, found)).first()["query"] == "decree رقم 9 لعام 1999"
+    assert law_graph.chain(docs, found).filter("target = 'law:2:2005'").first()["source_id"] == 3
+
+
+def test_queue_tables(spark):
+    from tessera.streaming import tables
+
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    empty = spark.createDataFrame([], tables.TASK)
+    urls = spark.createDataFrame([("http://a/1", "topic", 1), ("http://a/2", "topic", 2), ("http://www.b/1", "topic", 3), ("http://a/1#x", "topic", 4)], "url string, kind string, seq long")
+    tasks = tables.enqueue(empty, urls, now)
+    assert tasks.count() == 3 and tables.enqueue(tasks, urls, now).count() == 3
+    assert {r["domain"]: r["url"] for r in tables.claim(tasks, 2).collect()} == {"a": "http://a/1", "b": "http://www.b/1"}
+    done = tables.mark(tasks, spark.createDataFrame([("http://a/1", "failed"), ("http://a/2", "running")], "url string, new_status string"), now)
+    assert {r["url"]: (r["status"], r["attempts"]) for r in done.collect()} == {"http://a/1": ("failed", 1), "http://a/2": ("running", 1), "http://www.b/1": ("queued", 0)}
+    assert tables.requeue(done, ["failed"], now).filter("status = 'queued' and attempts = 0").count() == 2
+    later = F.lit("2024-01-01 00:11:00").cast("timestamp")
+    assert tables.rescue(done, later).filter("status = 'running'").count() == 0 and tables.rescue(done, now).filter("status = 'running'").count() == 1
+    state = spark.createDataFrame([("a", 2, 0), ("z", 5, 2)], "source string, total long, empty_runs long")
+    docs = spark.createDataFrame([("http://a/1", "x"), ("http://a/2", "y"), ("http://a/3", "z")], "url string, identity string")
+    assert {r["source"]: (r["total"], r["fresh"], r["empty_runs"], r["status"]) for r in tables.performance(state, docs).collect()} == {"a": (3, 1, 0, "active"), "z": (5, 0, 3, "exhausted")}
+    channels = spark.createDataFrame([(2, "http://n/1", "b"), (1, "http://n/1#q", "a"), (1, "http://a/9", "a")], "ord int, url string, why string")
+    assert [(r["url"], r["ord"]) for r in tables.candidates(channels, spark.createDataFrame([("a",)], "host string")).collect()] == [("http://n/1", 1)]
