@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_ROOT = Path(__file__).resolve().parent.parent
+_SHIPPED: set[str] = set()
+
 #: UTC keeps dates equal across engines; AQE re-plans joins and splits skewed partitions at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +32,21 @@ def session(name: str = "tessera", cores: int | str = "*", partitions: int = 8,
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers, once an application, where their path may not have it."""
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if _ROOT in paths or Path.cwd().resolve() == _ROOT or app in _SHIPPED:
+        return spark
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((_ROOT / "tessera").rglob("*.py")):
+            z.write(f, f.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str):
     """One parquet table of a data folder; Spark's own readers open every path."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
