@@ -1,9 +1,9 @@
 """Chat formatting with a grammar round trip, in DataFrame operations only.
 
-Grammar: a conversation is its turns, each
-``[INST] role level [/INST] text</s>`` and a line feed. The control strings are
-``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``. The parser is deterministic: split at
-``</s>`` and line feed; a turn's header ends at the first `` level [/INST] ``.
+Grammar: a conversation is its turns, each ``[INST] role level [/INST] text</s>``. The
+control strings are ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``, and they may stand
+for nothing but the marks. The parser is deterministic: split at ``</s>``; a turn's
+header ends at the first `` level [/INST] ``; a control string elsewhere is an error.
 
 Each turn is rendered plainly (level 0) and parsed again. Where the parse differs
 from the source, the turn is rendered at the next level:
@@ -29,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OPEN, CLOSE, END = "[INST] ", " [/INST] ", "</s>\n"
+OPEN, CLOSE, END = "[INST] ", " [/INST] ", "</s>"
+CONTROL = r"</?s>|\[/?INST\]"
 HEADER = r"(?s)^\[INST\] (.*?) ([012]) \[/INST\] (.*)$"
 ASSISTANT = "assistant"
 
@@ -65,15 +66,17 @@ def parse_turn(piece: Column) -> Column:
 
 def pieces(formatted: Column) -> Column:
     """A formatted text's turns without their end marks."""
-    parts = F.split(formatted, "</s>\n")
+    parts = F.split(formatted, END)
     return F.slice(parts, 1, F.size(parts) - 1)
 
 
 def comes_back(rendered: Column, role: Column, text: Column) -> Column:
     """Whether a rendered turn parses to its source."""
     found = pieces(rendered)
-    first = parse_turn(F.get(found, 0))
-    return (F.size(found) == 1) & F.endswith(rendered, F.lit(END)) & (first["role"] == role) & (first["text"] == text)
+    piece = F.get(found, 0)
+    first = parse_turn(piece)
+    marks = F.regexp_count(piece, F.lit(CONTROL)) == 2
+    return (F.size(found) == 1) & F.endswith(rendered, F.lit(END)) & marks & (first["role"] == role) & (first["text"] == text)
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
