@@ -188,13 +188,13 @@ def prefix_join(spark, d):
 
 
 @query("""
-with k as (select doc_id, text, length(text) as len, substr(text, 1, 40) as key from documents),
+with k as (select doc_id, text, length(text) as len, string_split(text, chr(10))[1] as key from documents),
 w as (select key, min(doc_id) as winner from k group by 1)
 select l.doc_id as loser, w.winner, l.len as loser_len, x.len as winner_len, l.len * 2 >= x.len * 3 and l.len - x.len >= 10 as suspicious
 from k l join w on l.key = w.key and l.doc_id <> w.winner join k x on x.doc_id = w.winner""")
 def dedup_audit_suspicious(spark, d):
     """Losers against their group's winner; suspicious if much longer."""
-    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("len"), F.substring("text", 1, 40).alias("key"))
+    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("len"), F.get(F.split("text", "\n"), F.lit(0)).alias("key"))
     first = Window.partitionBy("key").orderBy("doc_id")
     won = rows.withColumn("winner", F.first("doc_id").over(first)).withColumn("winner_len", F.first("len").over(first)).filter("doc_id <> winner")
     return won.select(F.col("doc_id").alias("loser"), "winner", F.col("len").alias("loser_len"), "winner_len", ((F.col("len") * 2 >= F.col("winner_len") * 3) & (F.col("len") - F.col("winner_len") >= 10)).alias("suspicious"))
@@ -277,19 +277,20 @@ def cube_rollup(spark, d):
 
 
 @query("""
-with a as (select p_partkey as id, p_name as path, sha256(p_brand || p_type) as sha from part where p_partkey % 7 <> 0),
-b as (select case when p_partkey % 11 = 0 then p_partkey + 1000000 else p_partkey end as id, p_name as path, sha256(p_brand || case when p_partkey % 5 = 0 then 'x' else p_type end) as sha from part where p_partkey % 3 <> 0),
-i as (select a.id, a.sha, b.sha as other from a left join b using (id)),
+with a as (select p_partkey as id, p_name || '-' || p_partkey as path, sha256(p_brand || p_type) as sha from part where p_size <= 40),
+b as (select case when p_size = 20 then p_partkey + 1000000 else p_partkey end as id, p_name || '-' || p_partkey as path, sha256(p_brand || case when p_size > 30 then 'x' else p_type end) as sha from part where p_size >= 5),
+i as (select a.id, a.path, a.sha, b.sha as other from a left join b using (id)),
 p as (select path, min(sha) as sha from b group by 1),
-j as (select i.id, i.sha, coalesce(i.other, p.sha) as other from i join a using (id) left join p on p.path = a.path)
+j as (select i.id, i.sha, coalesce(i.other, p.sha) as other from i left join p using (path))
 select class, count(*) as n from (select case when other is null then 'added' when other = sha then 'identical' else 'updated' end as class from j
 union all select 'foreign' from b where not exists (select 1 from a where a.id = b.id) and not exists (select 1 from a where a.path = b.path)) group by 1""")
 def merge_plan_classes(spark, d):
     """A package against its destination: by id, else by path; rows of the destination alone are foreign."""
-    part = table(spark, d, "part")
-    a = part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"), F.sha2(F.concat("p_brand", "p_type"), 256).alias("sha"))
-    kind = F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_type"))
-    b = part.filter("p_partkey % 3 <> 0").select(F.when(F.col("p_partkey") % 11 == 0, F.col("p_partkey") + 1000000).otherwise(F.col("p_partkey")).alias("id"), F.col("p_name").alias("path"), F.sha2(F.concat("p_brand", kind), 256).alias("sha"))
+    part = table(spark, d, "part").withColumn("path", F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")))
+    a = part.filter("p_size <= 40").select(F.col("p_partkey").alias("id"), "path", F.sha2(F.concat("p_brand", "p_type"), 256).alias("sha"))
+    kind = F.when(F.col("p_size") > 30, "x").otherwise(F.col("p_type"))
+    moved = F.when(F.col("p_size") == 20, F.col("p_partkey") + 1000000).otherwise(F.col("p_partkey"))
+    b = part.filter("p_size >= 5").select(moved.alias("id"), "path", F.sha2(F.concat("p_brand", kind), 256).alias("sha"))
     by_path = b.groupBy("path").agg(F.min("sha").alias("path_sha"))
     ours = a.join(b.select("id", F.col("sha").alias("id_sha")), "id", "left").join(by_path, "path", "left")
     other = F.coalesce("id_sha", "path_sha")
@@ -315,10 +316,10 @@ def gapless_sequence(spark, d):
     return n.select("l_orderkey", ((F.col("c") < 2) | (F.col("hi") - F.col("lo") + 1 == F.col("c"))).alias("gapless"))
 
 
-@query("""select p_partkey as target, unnest(generate_series(p_size, p_size + p_partkey % 7)) as article from part where p_partkey % 7 <> 0 and p_size > 0""")
+@query("""select p_partkey as target, unnest(generate_series(p_size, p_size + p_partkey % 7)) as article from part where p_size > 0""")
 def range_expand(spark, d):
     """Ranges of article numbers, at most 60 long, as single numbers."""
-    part = table(spark, d, "part").filter("p_partkey % 7 <> 0 and p_size > 0").withColumn("last", F.col("p_size") + F.col("p_partkey") % 7)
+    part = table(spark, d, "part").filter("p_size > 0").withColumn("last", F.col("p_size") + F.col("p_partkey") % 7)
     return part.filter("last <= p_size + 60").select(F.col("p_partkey").alias("target"), F.explode(F.sequence(F.col("p_size").cast("long"), F.col("last"))).alias("article"))
 
 
