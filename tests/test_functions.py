@@ -246,3 +246,25 @@ def test_queue_tables(spark):
     assert {r["source"]: (r["total"], r["fresh"], r["empty_runs"], r["status"]) for r in tables.performance(state, docs).collect()} == {"a": (3, 1, 0, "active"), "z": (5, 0, 3, "exhausted")}
     channels = spark.createDataFrame([(2, "http://n/1", "b"), (1, "http://n/1#q", "a"), (1, "http://a/9", "a")], "ord int, url string, why string")
     assert [(r["url"], r["ord"]) for r in tables.candidates(channels, spark.createDataFrame([("a",)], "host string")).collect()] == [("http://n/1", 1)]
+
+
+def test_curation(spark):
+    from tessera.operators import curation
+
+    schema = "url string, identity string, sha string, c struct<id:int,tier:int,articles:int,complete:boolean>"
+    stored = spark.createDataFrame([("u1", "k1", "s1", (1, 2, 10, True), "active"), ("u2", "k2", "s2", (2, 2, 10, True), "active")], schema + ", status string")
+    new = spark.createDataFrame([("u1", "k1", "s1", (9, 1, 10, True)), ("u2", "k2", "x", (9, 1, 10, True)), ("u3", "k1", "y", (9, 1, 10, True)), ("u4", "k1", "z", (9, 3, 10, True)), ("u5", "k9", "w", (9, 3, 10, True)), ("u6", None, "v", (9, 3, 10, True))], schema)
+    got = {r["url"]: (r["action"], r["superseded"]) for r in curation.resolved(stored, new).collect()}
+    assert got == {"u1": ("skip_same", None), "u2": ("upgrade", None), "u3": ("supersede", "u1"), "u4": ("alternate", None), "u5": ("insert", None), "u6": ("insert", None)}
+    rows = [(1, None, None, None, None), (2, None, None, None, 5), (3, "a", None, None, None), (4, None, "b", "title", 1), (5, "a", "a", "title", 1), (6, "a", "b", "preamble", 1), (7, "a", "b", "title", 1)]
+    outcomes = curation.reidentified(spark.createDataFrame(rows, "doc_id int, identity string, new_key string, new_source string, new_number int")).collect()
+    assert {r["doc_id"]: (r["outcome"], r["identity"]) for r in outcomes} == {1: ("no_match", None), 2: ("partial", None), 3: ("unchanged", "a"), 4: ("gained", "b"), 5: ("unchanged", "a"), 6: ("kept_existing", "a"), 7: ("updated", "b")}
+    docs = spark.createDataFrame([(1, "أهلا", "s", 2), (2, "اهلا", "s", 2), (3, "x", "", 1), (4, "y", "", 1), (5, "z", "q", 0), (6, "دولة أجنبية", "r", 3)], "doc_id int, title string, sha string, articles int")
+    assert sorted(r["doc_id"] for r in curation.pruned(docs, ["اجنبية"]).collect()) == [1, 3, 4]
+    heads = spark.createDataFrame([(1, "قانون مستثنى", "active", None), (2, "جزء", "active", 1), (3, "غيره", "active", None)], "doc_id int, title string, status string, part_of int")
+    assert {r["doc_id"]: r["status"] for r in curation.excluded(heads, ["مستثنى"]).collect()} == {1: "excluded", 2: "excluded", 3: "active"}
+    core = spark.createDataFrame([("a",), ("b",)], "identity string")
+    have = spark.createDataFrame([(1, "a", "superseded", True, 9), (2, "a", "active", True, 3)], "doc_id int, identity string, status string, complete boolean, articles int")
+    assert {r["identity"]: (r["doc_id"], r["covered"]) for r in curation.coverage(core, have).collect()} == {"a": (2, True), "b": (None, False)}
+    assert value(spark, curation.gate(F.lit(True), F.lit(0), F.lit(90))) == "no_articles"
+    assert value(spark, curation.triage(F.col("t"), F.col("x")), t="مشروع قانون", x="ن " * 300) == "draft"
