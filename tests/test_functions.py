@@ -268,3 +268,17 @@ def test_curation(spark):
     assert {r["identity"]: (r["doc_id"], r["covered"]) for r in curation.coverage(core, have).collect()} == {"a": (2, True), "b": (None, False)}
     assert value(spark, curation.gate(F.lit(True), F.lit(0), F.lit(90))) == "no_articles"
     assert value(spark, curation.triage(F.col("t"), F.col("x")), t="مشروع قانون", x="ن " * 300) == "draft"
+
+
+def test_article_edges(spark):
+    from tessera.functions import article_edges as ae
+
+    assert ae.numbers("5 و 7 إلى 9 و١١ مكرر") == ["5", "7", "8", "9", "11 مكرر"] and ae.numbers("9 إلى 2") == ["9"]
+    text = "تعدل المادتين 3 و 4 من القانون رقم 1 لعام 2000 وتلغى المادة 9 من القانون رقم 1 لعام 2000. يعدل ما يلي. المادة 5 من القانون رقم 2 لعام 2001"
+    want = [("law:1:2000", "3", "amend"), ("law:1:2000", "4", "amend"), ("law:1:2000", "9", "repeal")]
+    assert ae.article_amendments(text) == want and ae.article_amendments(text, "law:1:2000") == []
+    docs = spark.createDataFrame([(1, "law:1:2000", 2000, ""), (2, "law:7:2010", 2010, text), (3, "law:8:1990", 1990, text)], "id long, identity string, year int, text string")
+    edges = ae.article_edges(docs)
+    articles = spark.createDataFrame([("law:1:2000", n) for n in ("3", "9", "10")], "identity string, article string")
+    got = {r["article"]: (r["state"], len(r["amended_by"] or [])) for r in ae.amended_articles(articles, edges, docs).collect()}
+    assert got == {"3": ("amended", 1), "9": ("repealed", 1), "10": ("in_force", 0)}
