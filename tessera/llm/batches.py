@@ -93,7 +93,7 @@ class Batches:
             for frame in frames:
                 for row in frame.itertuples(index=False):
                     yield make(Batch(row, with_rest), _answers(row, names))
-                    wordhash.trim()
+                wordhash.trim()
 
         names = sorted(answers)
         return self._with(answers, with_rest).mapInPandas(run, schema)
@@ -124,8 +124,8 @@ def answered(messages: DataFrame, answer: Callable[[list[bytes]], tuple[list[byt
 
 
 def told(answers: DataFrame) -> list[bytes]:
-    """What the buckets have for the driver."""
-    return [bytes(r["body"]) for r in answers.filter("batch_id = -1").select("body").collect()]
+    """What the buckets have for the driver, in order of bucket."""
+    return [bytes(r["body"]) for r in answers.filter("batch_id = -1").select("bucket", "body").orderBy("bucket").collect()]
 
 
 def _answers(row, names: list[str]) -> dict[str, dict[int, bytes]]:
@@ -144,7 +144,7 @@ def _over_batches(make: Callable, names: list[str], schema: str):
                 found = list(make(batch, _answers(row, names)))
                 yield pd.DataFrame({"bucket": [k for k, _ in found], "batch_id": [batch.batch_id] * len(found), "body": [b for _, b in found]}).astype({"bucket": "int32", "batch_id": "int64"})
                 del batch, found
-                wordhash.trim()
+            wordhash.trim()
 
     return run
 

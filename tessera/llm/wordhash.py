@@ -16,10 +16,9 @@ import numpy as np
 
 U = np.uint64
 
-try:  # glibc: large arrays stand apart from the heap, and go back to the system when they are freed
+try:
     _LIBC = ctypes.CDLL(None)
-    _LIBC.mallopt(-3, 1 << 18)
-except (OSError, AttributeError):
+except OSError:
     _LIBC = None
 
 
