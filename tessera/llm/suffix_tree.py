@@ -1,21 +1,26 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of 0, 1 or 2 preceding words, all learned from the corpus. A
-context with ``SHARE`` of the training tokens, and ``LEAST`` occurrences, or more is
-a candidate; so candidates cover the same part of the text at any size. It is retained
-if its next-word distribution diverges from its parent's (its longest retained
-suffix): the mean gain in log probability of its own observations, each left
+The tree's upper states are contexts of 0, 1 or 2 preceding word classes (a class is
+a word's last byte, by kind, and whether it has bytes beyond ASCII): they give the
+next word's class, and words within a class go by their add-one unigram share. The
+lower states are contexts of 1 or 2 preceding words. All are learned from the corpus.
+A context of words with ``SHARE`` of the training tokens, and ``LEAST`` occurrences,
+or more is a candidate; so candidates cover the same part of the text at any size. It
+is retained if its next-word distribution diverges from its parent's (its longest
+retained suffix): the mean gain in log probability of its own observations, each left
 out of the counts in turn, must reach ``GAIN``. A state's distribution is smoothed
-towards its parent's with as many pseudo-observations, of ``MASSES``, as give it
-the most gain, down to the root, which is the add-one unigram model. A word is scored by the longest retained suffix of the
-words before it. A text ends with one end token, which is counted and scored.
-
-The counts are gathered by the rounds of ``batches``: words, then word pairs under
-candidate contexts, then triples under candidate contexts of two. Values are
-counted in each batch before they move, and no model is broadcast: a batch gets
-the counts of what stands in it. A context that holds more than a quarter bucket's
-share of the corpus is dealt to several buckets by its next word; there are at
-most four times as many such contexts as buckets, and the driver adds up their gains.
+towards its parent's with as many pseudo-observations, of ``MASSES``, as give it the
+most gain. A word is scored by the longest retained suffix of the words before it. A
+text ends with one end token, which is counted and scored.
+
+The counts are gathered by the rounds of ``batches``: words and classes, then word
+pairs under candidate contexts, then triples under candidate contexts of two. Values
+are counted in each batch before they move, and a batch gets back the counts of what
+stands in it. Only the table of class contexts, which has ``CLASSES``**3 entries at
+any size of the corpus, goes to the driver and to all tasks. A context that holds more
+than a quarter bucket's share of the corpus is dealt to several buckets by its next
+word; there are at most four times as many such contexts as buckets, and the driver
+adds up their gains.
 
 Words count as equal by 64-bit hashes of their A-to-Z-lowered bytes; next words in
 one context by 44 bits more.
@@ -87,6 +92,57 @@ def _unsqueeze(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+#: Word classes: 47 kinds of last byte, twice for words with other bytes than ASCII, and the end; padded to 96.
+CLASSES = 96
+END_CLASS = CLASSES - 1
+#: Mean gain in nats that retains a context of classes.
+CLASS_GAIN = 0.001
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte value: letters, three marks, digits, sixteen kinds beyond ASCII, and the rest."""
+    kind = np.full(256, 46, dtype=np.uint8)
+    kind[0x61:0x7B] = np.arange(26)
+    kind[list(b".,")] = 26, 27
+    kind[list(b"!?")] = 28
+    kind[0x30:0x3A] = 29
+    kind[0x80:] = 30 + (np.arange(0x80, 0x100) & 15)
+    return kind
+
+
+_KINDS = _kinds()
+
+
+def word_classes(words: wordhash.Words) -> np.ndarray:
+    other = np.concatenate([[0], np.cumsum(words.buf >= 0x80)])
+    return _KINDS[words.buf[words.end - 1]] + np.uint8(47) * (other[words.end] > other[words.start]).astype(np.uint8)
+
+
+class _Classes:
+    """Class probabilities by the two classes before, from the corpus' counts."""
+
+    def __init__(self, table: np.ndarray, distinct: np.ndarray):
+        c2 = table.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
+        tokens = c2.sum(axis=(0, 1))
+        #: Add-one total of each class' words, unknown ones included.
+        self.total = tokens + distinct + 1.0
+        p0 = self.total / self.total.sum()
+        p1 = self._smoothed(c2.sum(axis=0), np.broadcast_to(p0, (CLASSES, CLASSES)))
+        parents = np.broadcast_to(p1, (CLASSES, CLASSES, CLASSES)).reshape(-1, CLASSES)
+        self.p = self._smoothed(c2.reshape(-1, CLASSES), parents).astype(np.float32).reshape(-1)
+
+    @staticmethod
+    def _smoothed(counts: np.ndarray, parents: np.ndarray) -> np.ndarray:
+        """Each row's distribution: its parent's, or its own where that is retained."""
+        n = counts.sum(axis=1)
+        left = np.maximum(n - 1, 0)[:, None]
+        gains = np.stack([(counts * np.log((np.maximum(counts - 1, 0) + m * parents) / ((left + m) * parents))).sum(axis=1) for m in MASSES])
+        best = np.array(MASSES)[gains.argmax(axis=0)]
+        keep = (n > 0) & (gains.max(axis=0) >= CLASS_GAIN * n)
+        own = (counts + best[:, None] * parents) / (n + best)[:, None]
+        return np.where(keep[:, None], own, parents)
+
+
 class _Tokens:
     """A batch's tokens: ``hash``, ``start`` of each document, ``train`` a token, and its distinct words."""
 
@@ -97,8 +153,12 @@ class _Tokens:
         self.n = np.diff(self.start)
         self.held = np.array([held_out(i) for i in batch.doc_ids], dtype=bool)
         self.train = np.repeat(~self.held, self.n)
-        self.keys, self.entry = np.unique(self.hash, return_inverse=True)
+        self.keys, lead, self.entry = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.cls = np.insert(word_classes(words), words.first[1:], np.uint8(END_CLASS))
+        self.key_cls = self.cls[lead]
         place = np.arange(len(self.hash)) - np.repeat(self.start[:-1], self.n)
+        before = lambda k: np.where(place >= k, np.roll(self.cls, k), END_CLASS).astype(np.int64)
+        self.cell = (before(2) * CLASSES + before(1)) * CLASSES + self.cls  # its place in the table of classes
         #: Tokens that have one, or two, words before them.
         self.after = {1: np.flatnonzero(place >= 1), 2: np.flatnonzero(place >= 2)}
 
@@ -106,29 +166,41 @@ class _Tokens:
         return np.bincount(self.entry[self.train], minlength=len(self.keys))
 
 
+def _cells(k: int, buckets: int) -> slice:
+    """The bucket's part of the table of classes."""
+    return slice(k * CLASSES**3 // buckets, (k + 1) * CLASSES**3 // buckets)
+
+
 def _ask_words(buckets: int):
     def make(batch: Batch, answers: dict):
         t = _Tokens(batch)
         counts = t.counts()
-        for k, run in by_bucket(t.keys, buckets):
-            yield k, struct.pack("<Q", run.stop - run.start) + t.keys[run].astype("<u8").tobytes() + _squeeze(counts[run].astype("<u4"))
+        cells = np.bincount(t.cell[t.train], minlength=CLASSES**3).astype("<u4")
+        runs = dict(by_bucket(t.keys, buckets))
+        for k in range(buckets):
+            run = runs.get(k, slice(0, 0))
+            yield k, struct.pack("<Q", run.stop - run.start) + t.keys[run].astype("<u8").tobytes() + _squeeze(counts[run].astype("<u4"), t.key_cls[run], cells[_cells(k, buckets)])
 
     return make
 
 
-def _split_words(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _split_words(body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     (n,) = struct.unpack_from("<Q", body)
-    return np.frombuffer(body, "<u8", n, 8), _unsqueeze(body[8 + 8 * n :], "<u4")[0]
+    return np.frombuffer(body, "<u8", n, 8), _unsqueeze(body[8 + 8 * n :], "<u4", "u1", "<u4")
 
 
 def _answer_words(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
-    """Each word's training count in the corpus; to the driver, tokens and distinct words."""
+    """Each word's training count in the corpus; to the driver, distinct words by class and the bucket's cells."""
     split = [_split_words(b) for b in bodies]
-    every, inverse = np.unique(np.concatenate([k for k, _ in split]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([c for _, c in split]).astype(np.float64), minlength=len(every)).astype("<i8")
+    every, lead, inverse = np.unique(np.concatenate([k for k, _ in split]), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([m[0] for _, m in split]).astype(np.float64), minlength=len(every)).astype("<i8")
+    cls = np.concatenate([m[1] for _, m in split])[lead]
+    cells = np.zeros(len(split[0][1][2]), dtype="<i8")
+    for _, m in split:
+        cells += m[2]
     ends = np.cumsum([len(k) for k, _ in split])
     out = [_squeeze(total[inverse[e - len(k) : e]]) for e, (k, _) in zip(ends, split, strict=True)]
-    return out, struct.pack("<2q", int(total.sum()), int((total > 0).sum()))
+    return out, _squeeze(np.bincount(cls[total > 0], minlength=CLASSES).astype("<i8"), cells)
 
 
 def _words(t: _Tokens, answers: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -256,12 +328,12 @@ def _large(answers: DataFrame) -> dict[int, int]:
 class _Model:
     """What a batch knows after its answers: probabilities by depth."""
 
-    def __init__(self, batch: Batch, answers: dict, buckets: int, n: int, v: int, large: dict[int, dict[int, int]]):
+    def __init__(self, batch: Batch, answers: dict, buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
         self.t = t = _Tokens(batch)
         self.share = max(n / (4 * buckets), 1.0)
         self.count = _words(t, answers["words"], buckets)[t.entry]
         self.root = (self.count + 1.0) / (n + v + 1.0)
-        self.p = self.root.copy()
+        self.p = classes.p[t.cell] * (self.count + 1.0) / classes.total[t.cls]
         self.pair_count = np.zeros(len(t.hash), dtype=np.int64)
         at = t.after[1]
         least = max(LEAST, SHARE * n)
@@ -288,18 +360,18 @@ class _Model:
         self.p[at] = (mine + mass * self.p[at]) / (n + mass)
 
 
-def _ask_pairs(buckets: int, n: int, v: int, large: dict[int, dict[int, int]]):
+def _ask_pairs(buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
     def make(batch: Batch, answers: dict):
-        m = _Model(batch, answers, buckets, n, v, large)
+        m = _Model(batch, answers, buckets, n, v, classes, large)
         if len(m.pairs.at):
             yield from m.pairs.messages(buckets, m.p[m.pairs.at])
 
     return make
 
 
-def _score(buckets: int, n: int, v: int, large: dict[int, dict[int, int]]):
+def _score(buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
     def make(batch: Batch, answers: dict) -> pd.DataFrame:
-        m = _Model(batch, answers, buckets, n, v, large)
+        m = _Model(batch, answers, buckets, n, v, classes, large)
         starts = m.t.start[:-1]
         return pd.DataFrame(
             {
@@ -321,10 +393,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     batches = Batches(docs.select("doc_id", "text"), ordered=False)
     b = batches.buckets
     words = answered(batches.send(_ask_words(b)), _answer_words, "words")
-    totals = [struct.unpack("<2q", x) for x in told(words)]
-    n, v = sum(x for x, _ in totals), sum(x for _, x in totals)
-    pairs = answered(batches.send(_ask_pairs(b, n, v, {}), words=words), _answer_pairs, "pairs")
+    # One body a bucket: the buckets' cells, in order of bucket, are the table of classes.
+    parts = [_unsqueeze(x, "<i8", "<i8") for x in told(words)] or [[np.zeros(CLASSES, "<i8"), np.zeros(CLASSES**3, "<i8")]]
+    distinct, table = sum(x for x, _ in parts), np.concatenate([x for _, x in parts])
+    n, v, classes = int(table.sum()), int(distinct.sum()), _Classes(table, distinct)
+    pairs = answered(batches.send(_ask_pairs(b, n, v, classes, {}), words=words), _answer_pairs, "pairs")
     large = {1: _large(pairs)}
-    triples = answered(batches.send(_ask_pairs(b, n, v, large), words=words, pairs=pairs), _answer_pairs, "triples")
+    triples = answered(batches.send(_ask_pairs(b, n, v, classes, large), words=words, pairs=pairs), _answer_pairs, "triples")
     large[2] = _large(triples)
-    return batches.result(_score(b, n, v, large), SCORES, words=words, pairs=pairs, triples=triples)
+    return batches.result(_score(b, n, v, classes, large), SCORES, words=words, pairs=pairs, triples=triples)
