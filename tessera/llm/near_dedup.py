@@ -9,13 +9,12 @@ A document's set is its distinct runs of ``SHINGLE`` words, A to Z in lower case
    a class of copies, however large, costs one row a document.
 3. Candidates share a band key. In two rounds every bucket has one leader, and the
    bucket's other members are paired with it alone; members that are by then in
-   one component need no further pairs. What is left over, pairs of members in
-   different components, is tested in the join itself, on the packed signatures,
-   and only pairs that pass come out of it. So no bucket's pairs are all made, and
-   none is skipped.
-4. A pair's similarity is estimated from the bits that agree, corrected for the
-   chance agreement of ``2**-BITS``. Pairs under ``LINK`` less five standard errors
-   are dropped; all others are confirmed on their full sets.
+   one component need no further pairs. What is left over are pairs of members in
+   different components. So no bucket's pairs are all made, and none is skipped.
+4. A candidate's similarity is estimated in the join itself from the bits that
+   agree, corrected for the chance agreement of ``2**-BITS``. Only pairs of at least
+   ``LINK`` less 4.5 standard errors come out, and are confirmed on their full sets.
+   Leaders' pairs are estimated from a quarter of the signature, the others from all.
 5. Links give components by label spreading with pointer jumping.
 
 Texts are stored once, bucketed by id, and joined there without being moved again.
@@ -43,11 +42,13 @@ from . import wordhash
 from .shared import saved, shared_folder
 
 SHINGLE = 5
-MINIMA, ROWS_A_BAND, BITS = 128, 4, 4
-BANDS = MINIMA // ROWS_A_BAND
+MINIMA, BITS = 512, 4
+BANDS, ROWS_A_BAND = 32, 4
 #: Intersection over union, in hundredths.
 LINK = 75
 LONGS = MINIMA * BITS // 64
+#: Longs of the signature that the leaders' rounds carry.
+SHORT = LONGS // 4
 #: Characters hashed at once in a worker.
 SLICE = 1_000_000
 
@@ -94,7 +95,7 @@ def signatures(texts: list[str | None]) -> dict[str, np.ndarray]:
         short = (everything >> np.uint64(32)).astype(np.uint32)
         for j in range(MINIMA):
             minima[full, j] = np.minimum.reduceat(short * _A[j] + _B[j], starts)
-    bands = minima.astype(np.uint64).reshape(len(sets), BANDS, ROWS_A_BAND)
+    bands = minima[:, : BANDS * ROWS_A_BAND].astype(np.uint64).reshape(len(sets), BANDS, ROWS_A_BAND)
     keys = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for r in range(ROWS_A_BAND):
         keys = wordhash.mix(keys + bands[:, :, r])
@@ -110,9 +111,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = signatures(texts[a:b])
             found["keys"] = list(found["keys"])
             yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(dtype=object)} | found)
+            del found
+        wordhash.trim()
 
 
-def agreeing(left: str, right: str) -> Column:
+def agreeing(left: str, right: str, longs: int) -> Column:
     """Minima whose retained bits agree, by bit counts over the packed signatures."""
     ones = F.lit(0x1111111111111111)
 
@@ -121,27 +124,25 @@ def agreeing(left: str, right: str) -> Column:
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         return F.bit_count(any_bit.bitwiseAND(ones))
 
-    return F.lit(MINIMA) - reduce(lambda a, b: a + b, (differing(i) for i in range(LONGS)))
+    return F.lit(longs * 64 // BITS) - reduce(lambda a, b: a + b, (differing(i) for i in range(longs)))
 
 
-def estimate(left: str, right: str) -> Column:
+def estimate(left: str, right: str, longs: int = LONGS) -> Column:
     """Similarity from agreeing bits, less the agreement of 2**-BITS by chance."""
     chance = 2.0**-BITS
-    return (agreeing(left, right) / MINIMA - chance) / (1 - chance)
+    return (agreeing(left, right, longs) / (longs * 64 // BITS) - chance) / (1 - chance)
 
 
-def _chance_agreement() -> float:
-    p = LINK / 100 + (1 - LINK / 100) * 2.0**-BITS
-    return (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
-
-
-#: Estimates under this are dropped unconfirmed: five standard errors under the link.
-LEAST = LINK / 100 - 5 * _chance_agreement()
+def least(longs: int) -> float:
+    """Estimates under this are dropped unconfirmed: 4.5 standard errors under the link."""
+    chance = 2.0**-BITS
+    p = LINK / 100 + (1 - LINK / 100) * chance
+    return LINK / 100 - 4.5 * (p * (1 - p) / (longs * 64 // BITS)) ** 0.5 / (1 - chance)
 
 
-def _alike(left: str, right: str) -> Column:
+def _alike(left: str, right: str, longs: int) -> Column:
     sizes = 100 * F.least(f"{left}n", f"{right}n") >= LINK * F.greatest(f"{left}n", f"{right}n")
-    return sizes & (estimate(left, right) >= LEAST)
+    return sizes & (estimate(left, right, longs) >= least(longs))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,6 +157,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = common > 0 and 100 * common >= LINK * (len(x) + len(y) - common)
         yield batch.loc[keep, ["a", "b"]]
+        wordhash.trim()
 
 
 class _Texts:
@@ -170,18 +172,22 @@ class _Texts:
         self.table = spark.table(self.name)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are linked."""
+        """The pairs (a, b) whose full sets are linked; ``a`` may be a leader with many pairs."""
         own = lambda id_, text: self.table.select(F.col("doc_id").alias(id_), F.col("text").alias(text))
-        return pairs.join(own("b", "right"), "b").join(own("a", "left"), "a").select("a", "b", "left", "right").mapInPandas(_confirm, "a long, b long").distinct()
+        pairs = saved(pairs, "pairs")
+        # Leaders' texts stand apart, so that a leader's pairs can be split over tasks.
+        leaders = saved(own("a", "left").join(pairs.select("a").distinct(), "a", "left_semi"), "leaders")
+        return pairs.join(own("b", "right"), "b").join(leaders, "a").select("a", "b", "left", "right").mapInPandas(_confirm, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest id reachable from each id that has a link: doc_id, component."""
-    both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).select(F.col("a").alias("doc_id"), "l"), "labels")
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = saved(edges.union(edges.select("v", "u")).filter("u <> v").distinct(), "links")
+    labels = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")).select(F.col("u").alias("doc_id"), "l"), "labels")
     while True:
-        near = both.join(labels.select(F.col("doc_id").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        spread = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.least("l", "m").alias("m"), F.col("l").alias("was"))
+        near = both.join(labels.select(F.col("doc_id").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
+        spread = labels.join(near, labels["doc_id"] == near["u"]).select("doc_id", F.least("l", "m").alias("m"), F.col("l").alias("was"))
         jump = labels.select(F.col("doc_id").alias("m"), F.col("l").alias("far"))
         new = saved(spread.join(jump, "m", "left").select("doc_id", F.least("m", "far").alias("l"), "was"), "labels")
         changed = new.filter("l <> was").limit(1).count()
@@ -190,6 +196,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("doc_id", F.col("l").alias("component"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: only the components that these join are worked on."""
+    new = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
+    every = saved(labels.unionByName(new.join(labels, "doc_id", "left_anti").withColumn("component", F.col("doc_id"))), "labels")
+    side = lambda id_, name: every.select(F.col("doc_id").alias(id_), F.col("component").alias(name))
+    between = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
+    joined = components(between).select(F.col("doc_id").alias("component"), F.col("component").alias("joined"))
+    return saved(every.join(joined, "component", "left").select("doc_id", F.coalesce("joined", "component").alias("component")), "labels")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,39 +215,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A class of equal sets is known by its 128-bit hash; partial aggregates leave one row a class and task.
     classes = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # Sets of one run link only with equals.
-    wide = full.filter("n > 1").dropDuplicates(["doc_id", "h1", "h2"])
-    reps = saved(wide.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi"), "reps")
+    several = full.filter("n > 1").dropDuplicates(["doc_id", "h1", "h2"])
+    reps = saved(several.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi"), "reps")
+    near, wide = (["n", *(f"s{i}" for i in range(longs))] for longs in (SHORT, LONGS))
     keyed = reps.select(F.explode("keys").alias("key"), "doc_id")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = saved(keyed.join(shared, "key"), "buckets")
-    sizes = ["n", *(f"s{i}" for i in range(LONGS))]
+    buckets = saved(keyed.join(shared, "key").join(reps.select("doc_id", *near), "doc_id"), "buckets")
+
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return buckets.withColumn("l", F.col("doc_id"))
+        return buckets.join(labels, "doc_id", "left").withColumn("l", F.coalesce("component", "doc_id")).drop("component")
 
-    def own(id_: str, prefix: str) -> DataFrame:
-        return reps.select(F.col("doc_id").alias(id_), *(F.col(c).alias(prefix + c) for c in sizes))
+    def prefixed(members: DataFrame, id_: str, prefix: str, columns: list[str]) -> DataFrame:
+        return members.select(F.col("key").alias(prefix + "key"), F.col("doc_id").alias(id_), F.col("l").alias(prefix + "l"), *(F.col(c).alias(prefix + c) for c in columns))
 
-    links, labels = None, None
+    apart = (F.col("xkey") == F.col("ykey")) & (F.col("xl") != F.col("yl"))
+    labels = None
     for turn in range(2):
-        if labels is None:
-            members = buckets.withColumn("l", F.col("doc_id"))
-        else:
-            members = buckets.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("l"))
+        members = labelled(labels)
         # The leader is the least id first, then the least by a hash.
         rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        leaders = members.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("doc_id").alias("a"), F.col("l").alias("al"))).alias("x")).select("key", "x.a", "x.al")
-        pairs = members.join(leaders, "key").filter("l <> al").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        likely = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").filter(_alike("x", "y")).select("a", "b")
+        leaders = members.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "l", *near)).alias("x")).select("key", "x.*")
+        likely = prefixed(members, "b", "y", near).join(prefixed(leaders, "a", "x", near), apart & _alike("x", "y", SHORT)).select("a", "b").distinct()
         found = saved(texts.confirmed(likely), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = components(found) if labels is None else merged(labels, found)
     # What the leaders did not settle: pairs of one bucket in different components.
-    members = buckets.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("l"))
+    members = labelled(labels)
     mixed = members.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("key")
-    open_ = members.join(mixed, "key").join(reps.select("doc_id", *sizes), "doc_id")
-    x, y = (open_.select("key", F.col("doc_id").alias(i), F.col("l").alias(p + "l"), *(F.col(c).alias(p + c) for c in sizes)) for i, p in (("a", "x"), ("b", "y")))
-    likely = x.join(y.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("xl") != F.col("yl")) & _alike("x", "y")).select("a", "b").distinct()
+    left_over = members.join(mixed, "key").select("key", "doc_id", "l").join(reps.select("doc_id", "keys", *wide), "doc_id")
+    # A pair of several common bands comes out at the first of them.
+    earlier = F.sequence(F.lit(0), F.array_position("xkeys", F.col("xkey")).cast("int") - 1)
+    first = F.forall(earlier, lambda i: (F.get("xkeys", i) != F.get("ykeys", i)) | (F.get("xkeys", i) == F.col("xkey")))
+    columns = [*wide, "keys"]
+    once = apart & (F.col("a") < F.col("b")) & _alike("x", "y", LONGS) & first
+    likely = prefixed(left_over, "a", "x", columns).join(prefixed(left_over, "b", "y", columns), once).select("a", "b").distinct()
     found = saved(texts.confirmed(likely), "found")
     if found.limit(1).count():
-        labels = components(links.union(found))
+        labels = merged(labels, found)
     rep_label = labels.select(F.col("doc_id").alias("rep"), "component")
     named = classes.join(rep_label, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     final = signed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
