@@ -28,7 +28,7 @@ def encode(values: np.ndarray) -> bytes:
     rest = np.asarray(values, dtype=np.uint32)
     levels = []
     while True:
-        chunks, more = (rest & 0xFF).astype(np.uint8), rest > 0xFF
+        chunks, more = rest.astype(np.uint8), rest > 0xFF
         bitmap = np.packbits(more, bitorder="little")
         counts = np.add.reduceat(_POP[bitmap], np.arange(0, len(bitmap), BLOCK // 8), dtype=np.uint64) if len(bitmap) else np.zeros(0, np.uint64)
         directory = np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)])[: len(counts)]

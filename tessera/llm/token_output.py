@@ -15,6 +15,8 @@ segments; a null id sorts first; other columns are ignored, whatever their names
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,22 +27,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from . import dac
+from . import dac, wordhash
 from .shared import shared_folder
 
+# A task has one core; more threads would only hold more memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
 #: Tokens after which a segment is closed at the next document.
 SEGMENT = 1 << 19
 #: Distinct words that each half of a worker's memory of ids holds.
 REMEMBERED = 500_000
-#: Letters before this are Latin, in composed form, and alike in all versions of Unicode.
-_LATIN = "\u0250"
-#: The one Latin letter of them whose lower case is two code points.
-_DOTTED = "\u0130"
+#: Characters whose words are told apart at once.
+SLICE = 1_500_000
+#: Latin letters in composed form, alike in all versions of Unicode and with one letter as lower case, then end marks.
 _MARKS = ".,!?;:"
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+[.,!?;:]*")
+_BEFORE_MARKS = re.compile("(?<=[^ .,!?;:])(?=[.,!?;:])")
 #: Words on which the direct way must agree with the whole tokenizer.
-_TRIAL = ["A", "the", "Straße", "ÉTÉ", "niño", "œuvre", "Internationalization", "zzxqj", "Ÿ"]
+_TRIAL = ["A", "the", "end.", "so...", "what?!", "Straße", "ÉTÉ", "niño", "œuvre", "Internationalization", "zzxqj", "Ÿ"]
 
 SEGMENTS = T.StructType(
     [
@@ -65,6 +72,12 @@ ROWS = T.StructType(
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 
 
+def _is_odd(text: str) -> bool:
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _ODD.search(text) is not None
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and never merges across it.
 
@@ -77,13 +90,17 @@ class WordEncoder:
     def __init__(self, path: str):
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.ends = np.zeros(1, dtype=bool)
         suffix = getattr(self.plain.model, "end_of_word_suffix", None)
         self.letters = None
         if suffix:
-            self.letters = Tokenizer(self.plain.model)
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            # Each word comes once, so the model's own cache would only cost time.
+            self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
             self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = self.plain.get_vocab(with_added_tokens=False)
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -95,44 +112,66 @@ class WordEncoder:
         return self.plain.encode(text, add_special_tokens=False).ids
 
     def _by_letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters: a word ends with each token that has the end mark."""
-        ids = np.array(self.letters.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(words):
+        """Ids of words of Latin letters and end marks: letters, and marks, end with a token that has the end mark."""
+        text = _BEFORE_MARKS.sub(" ", " ".join(words).lower())
+        ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        last = np.cumsum([2 if w[-1] in _MARKS else 1 for w in words]) - 1
+        if len(ends) != last[-1] + 1:
             return [np.array(self._plainly(w), dtype="<u4").tobytes() for w in words]
+        cuts = (4 * (ends[last] + 1)).tolist()
         raw = ids.tobytes()
         return [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        cores, others, tails = [], [], []
-        for word in words:
-            core = word.rstrip(_MARKS)
-            if self.letters and core.isalpha() and max(core) < _LATIN and _DOTTED not in core:
-                cores.append(core)
-                tails.append(word[len(core) :])
-            else:
-                others.append(word)
+    def _learn(self, words: list[bytes]) -> None:
+        text = {w: w.decode("utf-8", "surrogatepass") for w in words}
+        simple = [w for w, t in text.items() if _SIMPLE.fullmatch(t)] if self.letters else []
+        for i in range(0, len(simple), 512):
+            some = simple[i : i + 512]
+            self.young.update(zip(some, self._by_letters([text[w] for w in some]), strict=True))
+        others = [w for w in words if w not in self.young] if len(simple) < len(words) else []
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            for word, got in zip(some, self.plain.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for word, got in zip(some, self.plain.encode_batch_fast([text[w] for w in some], add_special_tokens=False), strict=True):
                 self.young[word] = np.array(got.ids, dtype="<u4").tobytes()
-        marks = {t: np.array(self._plainly(t), dtype="<u4").tobytes() if t else b"" for t in set(tails)}
-        for i in range(0, len(cores), 4096):
-            for core, tail, ids in zip(cores[i : i + 4096], tails[i : i + 4096], self._by_letters(cores[i : i + 4096]), strict=True):
-                self.young[core + tail] = ids + marks[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
-        wanted = set().union(*(words for words in split if words is not None))
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        A slice's words are told apart by 64-bit hashes, so the memory of words is
+        asked once for each distinct word of a slice.
+        """
+        odd = {i: np.array(self._plainly(t), dtype="<u4").tobytes() for i, t in enumerate(texts) if t and _is_odd(t)}
+        usual = [None if i in odd else t for i, t in enumerate(texts)]
+        out = []
+        for a, b in wordhash.slices([len(t or "") for t in usual], SLICE):
+            out += self._slice(usual[a:b])
+        return [odd.get(i, x) for i, x in enumerate(out)]
+
+    def _slice(self, texts: list[str | None]) -> list[bytes]:
+        words = wordhash.Words(texts)
+        place, distinct = pd.factorize(words.hash)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        raw = words.raw
+        wanted = [raw[x:y] for x, y in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
         if len(self.young) + len(wanted) > REMEMBERED:  # words still in use move on to the young half
             self.young, self.old = {}, self.young
-        missing = wanted.difference(self.young)
-        new = missing.difference(self.old)
-        self.young.update((w, self.old[w]) for w in missing.difference(new))
-        self._learn(list(new))
-        known = self.young.__getitem__
-        return [np.array(self._plainly(t), dtype="<u4").tobytes() if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
+        young, old = self.young, self.old
+        missing = [w for w in wanted if w not in young]
+        new = [w for w in missing if w not in old] if old else missing
+        if len(new) < len(missing):
+            young.update((w, old[w]) for w in missing if w in old)
+        self._learn(new)
+        found = list(map(young.__getitem__, wanted))
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        start = np.cumsum(size) - size
+        each = size[place]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(start[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        packed, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])[words.first]).tolist()
+        return [packed[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -160,8 +199,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
 
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for first in range(0, len(texts), 512):
-                for doc_id, raw in zip(batch["doc_id"].iloc[first : first + 512], encoder.encode(texts[first : first + 512]), strict=True):
+            for first in range(0, len(texts), 2048):
+                for doc_id, raw in zip(batch["doc_id"].iloc[first : first + 2048], encoder.encode(texts[first : first + 2048]), strict=True):
                     ids.append(None if pd.isna(doc_id) else int(doc_id))
                     codes.append(raw + tail)
                     offsets.append(offsets[-1] + len(codes[-1]) // 4)
@@ -169,6 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
                         yield segment()
                         before += offsets[-1]
                         ids, offsets, codes = [], [0], []
+            wordhash.trim()
         if ids:
             yield segment()
 
@@ -180,7 +220,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Each document's place, length and checksum, read back from the files.
 
     ``start`` counts the ids of all documents before it; ``ids_crc32`` is over
-    the ids as little-endian unsigned 32-bit integers.
+    the ids as little-endian unsigned 32-bit integers. Here every id is wanted, so a
+    segment is read by one slice; ``document_ids`` reads a single document.
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -191,7 +232,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 code, offsets = dac.Dac(row.codes), np.frombuffer(row.offsets, dtype="<u8").astype(np.int64)
-                crcs = [zlib.crc32(code.slice(a, b).astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                ids, cuts = memoryview(code.slice(0, len(code)).astype("<u4").tobytes()), (4 * offsets).tolist()
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], dtype="Int64"),
@@ -210,6 +252,12 @@ def token_at(segment: dict, i: int) -> int:
     return dac.Dac(bytes(segment["codes"]))[i]
 
 
+def document_ids(segment: dict, i: int) -> np.ndarray:
+    """The ids of a segment row's ``i``-th document, without decoding the others."""
+    offsets = np.frombuffer(bytes(segment["offsets"]), dtype="<u8")
+    return dac.Dac(bytes(segment["codes"])).slice(int(offsets[i]), int(offsets[i + 1]))
+
+
 def token_files(docs: DataFrame, tokenizer_file: str, end_id: int | None = None) -> DataFrame:
     """Write the documents' ids to the shared folder and read them back."""
     path = shared_folder(docs.sparkSession, "tokens")
