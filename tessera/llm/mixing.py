@@ -25,8 +25,9 @@ The classifier is learned on half of a sample of ``SAMPLE`` labelled documents,
 least by a hash of the id, so the sample is small enough to broadcast at any size
 of the corpus, and texts need not move. Likelihoods are smoothed towards the whole
 labelled text by ``PRIOR`` pseudo-words. Words of one text aren't independent, so
-log likelihood ratios are multiplied by the factor, of ``FACTORS``, with the least
-log loss on the sample's other half. The table has ``FEATURES`` rows a domain and
+a domain's log likelihood ratio is multiplied by a factor, of ``FACTORS``, and counts as
+that of ``WORDS`` average words at most: one domain after the other, the pair with the
+least log loss on the sample's other half is taken. The table has ``FEATURES`` rows a domain and
 is a literal in the plan.
 
 ``mix_documents`` thins: documents whose likeliest domain is the one of the largest
@@ -51,11 +52,12 @@ from .shared import let, saved
 DOMAINS = ("good", "poor", "toxic")
 #: Weights of the domains in the mixture.
 TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 PRIOR = 20_000.0
 SAMPLE = 50_000
-FACTORS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
-RIDGE, HEADROOM = 0.001, 1.05
+FACTORS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+WORDS = (20.0, 50.0, 100.0, 200.0, 500.0, 2000.0, 1e9)
+RIDGE, HEADROOM = 0.02, 1.05
 STEPS, STORE_EVERY, STILL = 60, 10, 1e-6
 
 
@@ -91,9 +93,12 @@ def learn(docs: DataFrame, sample: DataFrame) -> tuple[list[float], list[list[fl
     return [math.log(x / sum(n)) for x in n], [[math.log((x + PRIOR * q) / (s + PRIOR)) for x, s in zip(row, sums, strict=True)] for row, q in zip(table, share, strict=True)]
 
 
-def _with_posterior(rows: DataFrame, prior: list[float], factor: float) -> DataFrame:
-    """``rows`` (s1, s2, ...) with p0, p1, ..."""
-    score = [F.lit(prior[0]), *(F.lit(prior[k]) + F.lit(factor) * F.col(f"s{k}") for k in range(1, len(DOMAINS)))]
+def _with_posterior(rows: DataFrame, prior: list[float], scales: dict[int, tuple[Column, Column]]) -> DataFrame:
+    """``rows`` (n_tokens, s1, s2, ...) with p0, p1, ...; ``scales`` has each domain's factor and words."""
+    score = [F.lit(prior[0])]
+    for k in range(1, len(DOMAINS)):
+        factor, words = scales[k]
+        score.append(F.lit(prior[k]) + factor * F.least(F.lit(1.0), words / F.greatest(F.col("n_tokens"), F.lit(1))) * F.col(f"s{k}"))
     top = F.greatest(*score)
     parts = [F.exp(x - top) for x in score]
     return rows.withColumns({f"p{k}": x / sum(parts[1:], parts[0]) for k, x in enumerate(parts)})
@@ -110,16 +115,19 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sums = {f"s{k}": let(ratio[k], lambda t: F.aggregate("_f", F.lit(0.0), lambda a, f: a + F.get(t, f))) for k in rest}
     rows = saved(rows.withColumns({"n_tokens": F.size("_f").cast("long")} | sums).drop("_f", "text"), "scores")
     other = sample.filter("calibrates").select("label_id", "k")
-    tested = rows.select("doc_id", *sums).join(F.broadcast(other), F.col("doc_id") == F.col("label_id"))
-    loss = []
-    for i, factor in enumerate(FACTORS):
-        p = _with_posterior(tested, prior, factor)
+    grid = [(f, w) for f in FACTORS for w in WORDS]
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("factor"), F.lit(w).alias("words")) for i, (f, w) in enumerate(grid)))
+    # Half the sample times the grid: a bounded number of rows.
+    tested = rows.select("doc_id", "n_tokens", *sums).join(F.broadcast(other), F.col("doc_id") == F.col("label_id"))
+    tested = saved(tested, "tested").withColumn("g", F.explode(pairs)).select("*", "g.*")
+    scales = {k: (F.lit(0.0), F.lit(1.0)) for k in rest}
+    for k in rest:
+        p = _with_posterior(tested, prior, scales | {k: (F.col("factor"), F.col("words"))})
         hit = F.when(F.col("k") == 0, F.col("p0")).when(F.col("k") == 1, F.col("p1")).otherwise(F.col("p2"))
-        tested = p.withColumn(f"loss{i}", -F.log(F.greatest(hit, F.lit(1e-12)))).drop("p0", "p1", "p2")
-        loss.append(F.avg(f"loss{i}").alias(f"loss{i}"))
-    found = tested.agg(*loss).first()
-    best = min(range(len(FACTORS)), key=lambda i: (found[i] if found[i] is not None else 0.0, i))
-    return _with_posterior(rows, prior, FACTORS[best])
+        loss = p.groupBy("i").agg(F.round(F.avg(-F.log(F.greatest(hit, F.lit(1e-12)))), 9).alias("loss")).collect()
+        best = min(loss, key=lambda r: (r["loss"], r["i"]))["i"] if loss else 0
+        scales[k] = (F.lit(grid[best][0]), F.lit(grid[best][1]))
+    return _with_posterior(rows, prior, scales)
 
 
 def _sums(rows: DataFrame, weight: Column) -> list[float]:
