@@ -404,16 +404,24 @@ def test_estimate_follows_similarity(spark):
 
 
 def test_mixing_meets_targets(spark):
+    """With sharp posteriors the expected totals are the targets."""
+    rng = np.random.default_rng(1)
+    p, n = rng.dirichlet([0.02, 0.02, 0.02], 600), rng.integers(1, 500, 600)
+    df = spark.createDataFrame([(int(a), *map(float, q)) for a, q in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
+    fitted, info = mixing.fit_rates(mixing.saved(df, "rows"), {"good": 0.7, "poor": 0.2, "toxic": 0.1}, ridge=0.001)
+    found = fitted.toPandas()
+    assert (found["rate"] >= 0).all()
+    got = (found["rate"].to_numpy()[:, None] * found["n_tokens"].to_numpy()[:, None] * found[["p0", "p1", "p2"]].to_numpy()).sum(axis=0)
+    assert np.allclose(got, info["got"], rtol=1e-6) and np.allclose(got, info["target"], rtol=0.02)
+
+
+def test_posteriors_tell_domains_apart(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
-    rows = mixing.saved(mixing.posteriors(docs.select("doc_id", "text"), labels).drop("text"), "posteriors")
-    fitted, info = mixing.fit_rates(rows, {"good": 0.9, "poor": 0.07, "toxic": 0.03})
-    found = fitted.toPandas()
-    p = found[["p0", "p1", "p2"]].to_numpy()
-    assert np.allclose(p.sum(axis=1), 1) and (found["rate"] >= 0).all()
-    got = (found["rate"].to_numpy()[:, None] * found["n_tokens"].to_numpy()[:, None] * p).sum(axis=0)
-    assert np.allclose(got, info["got"], rtol=1e-6)
-    assert np.allclose(got, info["target"], rtol=0.02)
+    rows = mixing.posteriors(docs.select("doc_id", "text"), labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    assert np.allclose(rows[["p0", "p1", "p2"]].sum(axis=1), 1)
+    good, poor = rows[(rows["quality"] == 1) & (rows["toxic"] == 0)], rows[(rows["quality"] == 0) & (rows["toxic"] == 0)]
+    assert good["p0"].mean() > poor["p0"].mean() and poor["p1"].mean() > good["p1"].mean()
 
 
 def test_rates_solve_the_problem(spark):
