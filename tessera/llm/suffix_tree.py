@@ -4,14 +4,14 @@ The tree's upper states are contexts of 0, 1 or 2 preceding word classes (a clas
 a word's last byte, by kind, and whether it has bytes beyond ASCII): they give the
 next word's class, and words within a class go by their add-one unigram share. The
 lower states are contexts of 1 or 2 preceding words. All are learned from the corpus.
-A context of words with ``SHARE`` of the training tokens, and ``LEAST`` occurrences,
-or more is a candidate; so candidates cover the same part of the text at any size. It
-is retained if its next-word distribution diverges from its parent's (its longest
-retained suffix): the mean gain in log probability of its own observations, each left
-out of the counts in turn, must reach ``GAIN``. A state's distribution is smoothed
-towards its parent's with as many pseudo-observations, of ``MASSES``, as give it the
-most gain. A word is scored by the longest retained suffix of the words before it. A
-text ends with one end token, which is counted and scored.
+A context of words with ``LEAST`` training occurrences or more is a candidate, at any
+size of the corpus, so the tree grows with the text. It is retained if its next-word
+distribution diverges from its parent's (its longest retained suffix): the mean gain
+in log probability of its own observations, each left out of the counts in turn, must
+reach ``GAIN``. A state's distribution is smoothed towards its parent's with as many
+pseudo-observations, of ``MASSES``, as give it the most gain. A word is scored by the
+longest retained suffix of the words before it. A text ends with one end token, which
+is counted and scored.
 
 The counts are gathered by the rounds of ``batches``: words and classes, then word
 pairs under candidate contexts, then triples under candidate contexts of two. Values
@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from . import wordhash
 from .batches import Batch, Batches, answered, by_bucket, told
 
-#: A context is a candidate with this share of the training tokens, and so many occurrences; mean gain in nats that retains it.
-SHARE, LEAST, GAIN = 1e-5, 50, 0.02
+#: Training occurrences that make a context a candidate; mean gain in nats that retains it.
+LEAST, GAIN = 50, 0.02
 #: Pseudo-observations from the parent that a state's distribution may have.
 MASSES = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0)
 FOLDS, HELD = 7, 2
@@ -336,15 +336,14 @@ class _Model:
         self.p = classes.p[t.cell] * (self.count + 1.0) / classes.total[t.cls]
         self.pair_count = np.zeros(len(t.hash), dtype=np.int64)
         at = t.after[1]
-        least = max(LEAST, SHARE * n)
-        at = at[self.count[at - 1] >= least]
+        at = at[self.count[at - 1] >= LEAST]
         self.pairs = _Pairs(t, at, t.hash[at - 1], self.count[at - 1], self.share)
         if "pairs" in answers:
             self._learn(answers["pairs"], buckets, large.get(1, {}))
             one = self.pair_count
             at = t.after[2]
             # The longer context is the pair that ends at the word before; its parent is the longest retained suffix.
-            at = at[one[at - 1] >= least]
+            at = at[one[at - 1] >= LEAST]
             self.pairs = _Pairs(t, at, wordhash.mix(t.hash[at - 2] ^ U(0x2545F4914F6CDD1D)) + t.hash[at - 1], one[at - 1], self.share)
         if "triples" in answers:
             self._learn(answers["triples"], buckets, large.get(2, {}))

@@ -7,13 +7,15 @@ import re
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import types as T
 
-from tessera.llm import byte_bpe, chat_format, dac, fingerprints, mixing, near_dedup, phrases, quality_rules, queries, sharding, suffix_tree, token_output, wordhash
+from tessera.llm import batches, byte_bpe, chat_format, dac, fingerprints, mixing, near_dedup, phrases, quality_rules, queries, sharding, suffix_tree, token_output, wordhash
 from tests.conftest import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -482,6 +484,21 @@ def test_suffix_tree_learns(spark, monkeypatch):
     assert per_token > 0.4  # the chain has one bit a word, single words have three
 
 
+@pytest.mark.parametrize("n", [10_000, 10**7, 10**10])
+def test_candidates_at_any_size(n):
+    """A context that occurs often enough is a candidate however large the corpus is."""
+    texts = [f"often x{i}" for i in range(70) if not suffix_tree.held_out(i)] + ["rare y"] * 10
+    ids = [i for i in range(70) if not suffix_tree.held_out(i)] + [None] * 10
+    body = zstandard.ZstdCompressor().compress("".join(texts).encode())
+    batch = batches.Batch(SimpleNamespace(batch_id=0, doc_ids=ids, lens=np.array([len(t) for t in texts], dtype="<i8").tobytes(), body=body))
+    answers = {k: suffix_tree._answer_words([body])[0][0] for k, body in suffix_tree._ask_words(2)(batch, {})}
+    classes = suffix_tree._Classes(np.zeros(suffix_tree.CLASSES**3), np.zeros(suffix_tree.CLASSES))
+    model = suffix_tree._Model(batch, {"words": answers}, 2, n, 100, classes, {})
+    places = model.t.start[: len(ids) - 10] + 1
+    assert len(places) >= suffix_tree.LEAST and set(places.tolist()) <= set(model.pairs.at.tolist())
+    assert not set((model.t.start[len(ids) - 10 : -1] + 1).tolist()) & set(model.pairs.at.tolist())
+
+
 def test_class_states_are_distributions():
     rng = np.random.default_rng(0)
     table = rng.poisson(0.02, suffix_tree.CLASSES**3)
