@@ -30,7 +30,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that meet the domains' weights, once each."""
+    """Documents drawn at the rates that meet the domains' weights, as often as their copies say."""
     return mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

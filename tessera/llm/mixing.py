@@ -30,8 +30,9 @@ that of ``WORDS`` average words at most: one domain after the other, the pair wi
 least log loss on the sample's other half is taken. The table has ``FEATURES`` rows a domain and
 is a literal in the plan.
 
-``mix_documents`` thins: documents whose likeliest domain is the one of the largest
-weight enter whole, and the others by their rates, once at most.
+``mix_documents`` gives the mixture itself: each document as often as its copies say.
+A rate depends on the document's own posteriors and on the steps' sums, so it is
+computed again in the row, and texts don't move.
 
 Cases: a null or blank text has no tokens and the prior as its posterior; a null
 label counts as 0; a document with several labels counts for each; without labels
@@ -137,7 +138,7 @@ def _sums(rows: DataFrame, weight: Column) -> list[float]:
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: float = RIDGE, headroom: float = HEADROOM) -> tuple[DataFrame, dict]:
-    """``rows`` (n_tokens, p0, ...) with ``rate``, and the domains' totals: had, target and got.
+    """``rows`` (n_tokens, p0, ...) with ``rate``, the domains' totals (had, target and got) and the steps.
 
     A step needs the domain sums of the current point only, so the driver holds K
     numbers; the rates stay in the table, stored every ``STORE_EVERY`` steps.
@@ -147,21 +148,22 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: f
     had = _sums(rows, F.lit(1.0))
     total = sum(had)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had}
+        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had, "steps": []}
     lead = max(k_all, key=lambda k: weights[k])
     goal = [headroom * had[lead] * w / weights[lead] for w in weights]
     rate = 1.0 / (1.0 + ridge)
     # x: the point; y: the point with momentum, where the gradient is taken.
     state = rows.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
-    momentum, got = 1.0, had
+    momentum, got, steps = 1.0, had, []
     sums_x, sums_y = had, had
     for step in range(1, STEPS + 1):
         pull = [(sums_y[k] - goal[k]) / had[k] if had[k] else 0.0 for k in k_all]
-        new = F.greatest(F.lit(0.0), F.col("y") - rate * (sum(F.lit(pull[k]) * F.col(f"p{k}") for k in k_all) + ridge * (F.col("y") - 1)))
+        new = _stepped(F.col("y"), [F.lit(x) for x in pull], rate, ridge)
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         beta = (momentum - 1) / after
         state = state.withColumn("new", new).withColumn("y", F.col("new") + beta * (F.col("new") - F.col("x"))).drop("x").withColumnRenamed("new", "x")
         momentum = after
+        steps.append((*pull, beta))
         if step % STORE_EVERY == 0:
             state = saved(state, "rates")
         got = _sums(state, F.col("x"))
@@ -170,7 +172,24 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: f
         sums_x = got
         if moved < STILL:
             break
-    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": goal, "got": got}
+    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": goal, "got": got, "steps": steps}
+
+
+def _stepped(y: Column, pull: list[Column], rate: float, ridge: float) -> Column:
+    """A rate after one projected gradient step from ``y``."""
+    return F.greatest(F.lit(0.0), y - rate * (sum(x * F.col(f"p{k}") for k, x in enumerate(pull)) + ridge * (y - 1)))
+
+
+def rate_by_steps(steps: list[tuple[float, ...]], ridge: float = RIDGE) -> Column:
+    """The rate that ``fit_rates`` came to by these steps, from a row's own posteriors."""
+    k_all = range(len(DOMAINS))
+    made = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps)) if steps else F.array().cast("array<array<double>>")
+
+    def move(point: Column, step: Column) -> Column:
+        new = _stepped(point["y"], [F.get(step, k) for k in k_all], 1.0 / (1.0 + ridge), ridge)
+        return let(new, lambda x: F.struct(x.alias("x"), (x + F.get(step, len(DOMAINS)) * (x - point["x"])).alias("y")))
+
+    return F.aggregate(made, F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), move)["x"]
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -187,17 +206,9 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that enter the mixture, once each, with all their columns."""
+    """The documents of the mixture with all their columns, each in as many rows as it has copies."""
     inner = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = posteriors(inner, labels)
-    narrow, _ = fit_rates(rows.drop("_row"))
-    lead = max(range(len(DOMAINS)), key=lambda k: TARGETS[DOMAINS[k]])
-    thinned = F.col(f"p{lead}") < F.greatest(*(F.col(f"p{k}") for k in range(len(DOMAINS))))
-    # A rate depends on the posteriors alone, so it is looked up by the row's own.
-    keys = ["doc_id", "n_tokens", *(f"s{k}" for k in range(1, len(DOMAINS)))]
-    chosen = narrow.filter(thinned & (copies(F.col("rate"), F.col("doc_id")) == 0)).select(*keys).distinct()
-    chosen = saved(chosen, "left-out").select(*(F.col(c).alias(f"_{c}") for c in keys))
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return rows.join(chosen, same, "left_anti").select("_row.*")
+    _, info = fit_rates(rows.drop("_row"))
+    drawn = rows.withColumn("_copies", copies(rate_by_steps(info["steps"]), F.col("doc_id")).cast("int"))
+    return drawn.filter("_copies > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")

@@ -441,6 +441,14 @@ def test_rates_solve_the_problem(spark):
     assert loss(found["rate"], found["n_tokens"], np.array(info["got"])) <= 1.05 * loss(x, n, (x * n) @ p)
 
 
+def test_mixture_follows_rates(spark):
+    """Every document enters as often as its fitted rate says, whatever its likeliest domain is."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels).collect()}
+    assert 0 in copies.values()
+    assert Counter(r["doc_id"] for r in mixing.mix_documents(docs, labels).collect()) == Counter({i: c for i, c in copies.items() if c})
+
+
 def test_mixing_odd_rows(spark, odd):
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (15, 0, 1), (3, None, None)], LABEL)
     got = mixing.mix(docs_of(spark, odd), labels).collect()
