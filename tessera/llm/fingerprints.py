@@ -7,7 +7,8 @@ wherever they stand. A fingerprint lists each anchor's 32-bit hash together with
 the distance to the next anchor: two anchors match only where the next one follows
 at the same distance, which is matching by position, indifferent to what was put
 before them. The likeness of two fingerprints is the share of their distinct
-entries that both have.
+entries that both have, words with words and characters with characters: entries over
+characters count only if both texts have them.
 
 The edited text of a document ends in the beginning of the next one. Neighbours are
 found on the ids alone: ranges of ids, each sorted, and one first id a range. Then
@@ -37,13 +38,23 @@ def _short(x: Column) -> Column:
     return (x.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
 
 
-def anchors(text: Column) -> Column:
-    """The entries of a fingerprint, in order: anchor hash and distance to the next, as 32 bits."""
-    short = F.regexp_extract_all(text, F.lit("(?s)."), 0)
-    both = lambda h: F.when(F.size(h) < SHORT, F.concat(_syncmers(h), _syncmers(F.transform(short, lambda x: F.xxhash64(x, F.lit(1)))))).otherwise(_syncmers(h))
+def kinds(text: Column) -> Column:
+    """A fingerprint's entries over words, and over characters (null from ``SHORT`` words on)."""
+    characters = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda x: F.xxhash64(x, F.lit(1)))
+    both = lambda h: F.struct(_syncmers(h).alias("words"), F.when(F.size(h) < SHORT, _syncmers(characters)).alias("characters"))
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), both)
 
 
+def joined(kinds: Column) -> Column:
+    """All entries, in order: anchor hash and distance to the next, as 32 bits."""
+    return F.concat(kinds["words"], F.coalesce(kinds["characters"], F.array().cast("array<int>")))
+
+
+def anchors(text: Column) -> Column:
+    """The entries of a text's fingerprint, in order."""
+    return let(kinds(text), joined)
+
+
 def _syncmers(hashes: Column) -> Column:
     """Entries over a sequence of hashed symbols."""
 
@@ -73,6 +84,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)))
 
 
+def alike(a: Column, b: Column) -> Column:
+    """The likeness of two fingerprints over the kinds of entries that both have."""
+    whole = likeness(F.array_distinct(joined(a)), F.array_distinct(joined(b)))
+    words = likeness(F.array_distinct(a["words"]), F.array_distinct(b["words"]))
+    return F.when(a["characters"].isNotNull() & b["characters"].isNotNull(), whole).otherwise(words)
+
+
 def successors(keys: DataFrame) -> DataFrame:
     """``keys`` (k, h, copy and more), in that order, with the next row's k and h as nk and nh."""
     own = F.struct("k", "h", "copy")
@@ -103,17 +121,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = groups.select("k", "h", "n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     follow = successors(keys).withColumn("cut", F.floor(F.col("n") / 4).cast("int")).drop("copy")
     there = rows.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("text").alias("next_text"))
-    tails = follow.join(there, ["nk", "nh"]).select("k", "h", "n", "cut", F.expr("substring(next_text, 1, cut)").alias("tail"), anchors(F.col("next_text")).alias("next_entries"))
+    tails = follow.join(there, ["nk", "nh"]).select("k", "h", "n", "cut", F.expr("substring(next_text, 1, cut)").alias("tail"), kinds(F.col("next_text")).alias("next_entries"))
     both = tails.join(rows, ["k", "h"])
     edited = F.concat(F.expr("substring(text, 1, n - cut)"), F.col("tail"))
-    marked = both.select("k", "n", anchors(F.col("text")).alias("entries"), "next_entries", edited.alias("edited"))
-    marked = marked.withColumn("edited_entries", anchors(F.col("edited")))
+    marked = both.select("k", "n", kinds(F.col("text")).alias("entries"), "next_entries", edited.alias("edited"))
+    marked = marked.withColumn("edited_entries", kinds(F.col("edited")))
     return marked.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_string(F.col("entries")).alias("fingerprint"),
-        as_string(F.col("edited_entries")).alias("edited_fingerprint"),
-        likeness(F.array_distinct("entries"), F.array_distinct("edited_entries")).alias("near_edited"),
-        likeness(F.array_distinct("entries"), F.array_distinct("next_entries")).alias("near_next"),
+        as_string(joined(F.col("entries"))).alias("fingerprint"),
+        as_string(joined(F.col("edited_entries"))).alias("edited_fingerprint"),
+        alike(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        alike(F.col("entries"), F.col("next_entries")).alias("near_next"),
     )

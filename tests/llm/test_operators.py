@@ -334,6 +334,19 @@ def test_fingerprints(spark, odd, table):
     assert fingerprints.fingerprints(docs_of(spark, [])).count() == 0
 
 
+def test_near_copies_across_short(spark):
+    """A text and its copy with a word more are alike on every side of the bound of short texts."""
+    rng = random.Random(3)
+    bound = fingerprints.SHORT
+    for n in (bound - 2, bound - 1, bound):
+        texts = []
+        for k in range(30):
+            text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+            texts += [(2 * k, text), (2 * k + 1, text + " more")]
+        got = [r["near_next"] for r in fingerprints.fingerprints(docs_of(spark, texts)).collect() if r["doc_id"] % 2 == 0]
+        assert sorted(got)[15] >= 0.6, n
+
+
 def test_syncmers_are_closed(spark):
     """Anchors by a direct pass over the same hashes."""
     text = " ".join(f"w{(i * 7919) % 61}" for i in range(200))
