@@ -1,8 +1,20 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-Domains are classes of the label table: good, poor and toxic documents. A
-multinomial naive Bayes classifier over ``FEATURES`` hashed words, learned from the
-labelled documents by one aggregate, gives each document a posterior over domains.
+Domains are classes of the label table: good, poor and toxic documents. A classifier
+learned from the labelled documents gives each document a posterior over domains:
+
+1. Features of a text are its distinct words (runs of ASCII letters and digits and of
+   characters beyond ASCII, in lower case) and the levels of three shares: marks,
+   repeated words and repeated lines. On half of a sample of ``SAMPLE`` labelled
+   documents, the least by a hash of the id, the G statistic of each feature's presence
+   against the first domain is taken, over distinct texts; the ``SELECTED`` features of
+   the greatest G, ``TELLING`` at least, are kept with their log likelihood ratios.
+2. A document's score for a domain is the sum of the ratios of its features. The scores
+   between ``EDGES`` make a cell, and a cell's posterior is the share of each domain
+   among the labelled documents of the sample's other half that fall into it, smoothed
+   by ``SMOOTH`` pseudo-documents of the product of its margins. So posteriors are
+   calibrated against labels that the ratios haven't seen, noise in labels included.
+
 A document's rate x >= 0 is how often it enters the mixture. With n tokens and
 posterior p, the mixture's expected tokens of domain k are sum(x n p_k). The rates
 minimise
@@ -10,35 +22,25 @@ minimise
     1/2 sum_k (sum(x n p_k) - target_k)^2 / had_k  +  ridge/2 sum(n (x - 1)^2)
 
 (had_k: the domain's expected tokens at rates 1) by projected gradient steps, whose
-only global quantities are the K domain sums: each step is one small aggregate over
-the stored posteriors. Steps are measured in tokens, so that a document's step does
-not depend on its length. Then the first term's curvature is similar to a
-stochastic matrix, whose largest eigenvalue is 1, and the step is 1 / (1 + ridge).
-Steps have momentum and stop when the sums no longer move.
-
-``targets`` are the domains' weights. The total is such that the domain of the
-largest weight needs ``headroom`` times the tokens it has, so its documents enter
-whole and the others are thinned, or repeated, to their weights. ``copies`` rounds a rate up or down by a hash of the document, so that the
-mixture's expected tokens are as fitted.
-
-The classifier is learned on half of a sample of ``SAMPLE`` labelled documents, the
-least by a hash of the id, so the sample is small enough to broadcast at any size
-of the corpus, and texts need not move. Likelihoods are smoothed towards the whole
-labelled text by ``PRIOR`` pseudo-words. Words of one text aren't independent, so
-a domain's log likelihood ratio is multiplied by a factor, of ``FACTORS``, and counts as
-that of ``WORDS`` average words at most: one domain after the other, the pair with the
-least log loss on the sample's other half is taken. The table has ``FEATURES`` rows a domain and
-is a literal in the plan.
-
-``mix_documents`` gives the mixture itself: each document as often as its copies say.
-A rate depends on the document's own posteriors and on the steps' sums, so it is
-computed again in the row, and texts don't move.
-
-Cases: a null or blank text has no tokens and the prior as its posterior; a null
+only global quantities are the K domain sums: each step is one aggregate over the
+stored rows. Steps are measured in tokens, so that a document's step does not depend
+on its length. Documents with one posterior thus have one rate, and their tokens are
+added up before the steps. The first term's curvature is similar to a stochastic
+matrix, whose largest eigenvalue is 1, and the step is 1 / (1 + ridge). Steps have
+momentum and stop when the sums no longer move.
+
+``targets`` are the domains' weights. The total is such that the domain of the largest
+weight needs ``headroom`` times the tokens it has. Weights outside the cone that the
+posteriors span can't be met; ``missed`` names the domains that are off. ``copies``
+rounds a rate up or down by a hash of the document, so that the mixture's expected
+tokens are as fitted, and ``mix_documents`` gives the mixture itself: each document as
+often as its copies say. Texts don't move.
+
+Cases: a null or blank text has no tokens and is scored by its levels alone; a null
 label counts as 0; a document with several labels counts for each; without labels
-every posterior is even; repeated rows have equal rates; a null id is hashed as
-such; an empty table gives an empty result; other columns are ignored, or carried
-along by ``mix_documents``.
+every posterior is even; a domain without labels has the smoothing alone; repeated
+rows have equal rates; a null id is hashed as such; an empty table gives an empty
+result; other columns are ignored, or carried along by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -52,14 +54,17 @@ from .shared import let, saved
 
 DOMAINS = ("good", "poor", "toxic")
 #: Weights of the domains in the mixture.
-TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
-FEATURES = 1 << 15
-PRIOR = 20_000.0
+TARGETS = {"good": 0.89, "poor": 0.09, "toxic": 0.02}
 SAMPLE = 50_000
-FACTORS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
-WORDS = (20.0, 50.0, 100.0, 200.0, 500.0, 2000.0, 1e9)
-RIDGE, HEADROOM = 0.02, 1.05
-STEPS, STORE_EVERY, STILL = 60, 10, 1e-6
+#: Features kept at most, the slots of their table, and the least G (chance gives it one feature in 45,000).
+SELECTED, SLOTS, TELLING = 512, 1 << 13, 18.0
+EDGES = (0.5, 2.0, 4.0, 8.0, 16.0)
+SMOOTH = 1.0
+RIDGE, HEADROOM = 0.001, 1.02
+STEPS, STORE_EVERY, STILL = 150, 25, 2e-6
+MARKS = "[!?#*$%&|<>]"
+REST = range(1, len(DOMAINS))
+ALL = range(len(DOMAINS))
 
 
 def sampled(labels: DataFrame) -> DataFrame:
@@ -70,126 +75,176 @@ def sampled(labels: DataFrame) -> DataFrame:
     return saved(rows.orderBy(order, "k").limit(SAMPLE).withColumn("calibrates", F.pmod(F.xxhash64("label_id"), F.lit(2)) == 1), "sample")
 
 
+def _level(part: Column, whole: Column) -> Column:
+    """A share's place on a scale of eleven levels, each twice the one before."""
+    return F.floor(F.log2(1000 * part / F.greatest(whole, F.lit(1)) + 1)).cast("int")
+
+
 def features(text: Column) -> Column:
-    """Hashed words without marks, A to Z in lower case."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.array_remove(F.split(lower, r"[ \x09-\x0D.,!?;:]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
-
-
-def learn(docs: DataFrame, sample: DataFrame) -> tuple[list[float], list[list[float]]]:
-    """Log priors of the domains, and each feature's log likelihood by domain, from the sample's learning half."""
-    half = sample.filter("not calibrates")
-    known = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(half), "label_id")
-    words = known.select("k", F.explode(features(F.col("text"))).alias("f"))
-    counts = words.groupBy("k", "f").agg(F.count(F.lit(1)).alias("c")).collect()  # at most FEATURES rows a domain
-    n = [1.0] * len(DOMAINS)
-    for r in sample.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect():
-        n[r["k"]] += r["c"]
-    table = [[0.0] * len(DOMAINS) for _ in range(FEATURES)]
-    for r in counts:
-        table[r["f"]][r["k"]] += r["c"]
-    sums = [sum(row[k] for row in table) for k in range(len(DOMAINS))]
-    # Each feature's share of all labelled words, itself never 0.
-    share = [(sum(row) + 1.0 / FEATURES) / (sum(sums) + 1.0) for row in table]
-    return [math.log(x / sum(n)) for x in n], [[math.log((x + PRIOR * q) / (s + PRIOR)) for x, s in zip(row, sums, strict=True)] for row, q in zip(table, share, strict=True)]
-
-
-def _with_posterior(rows: DataFrame, prior: list[float], scales: dict[int, tuple[Column, Column]]) -> DataFrame:
-    """``rows`` (n_tokens, s1, s2, ...) with p0, p1, ...; ``scales`` has each domain's factor and words."""
-    score = [F.lit(prior[0])]
-    for k in range(1, len(DOMAINS)):
-        factor, words = scales[k]
-        score.append(F.lit(prior[k]) + factor * F.least(F.lit(1.0), words / F.greatest(F.col("n_tokens"), F.lit(1))) * F.col(f"s{k}"))
-    top = F.greatest(*score)
-    parts = [F.exp(x - top) for x in score]
-    return rows.withColumns({f"p{k}": x / sum(parts[1:], parts[0]) for k, x in enumerate(parts)})
+    """A text's number of words and the hashes of its features."""
+    whole = F.coalesce(text, F.lit(""))
+    words = F.array_remove(F.split(F.lower(whole), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    lines = F.array_remove(F.split(whole, r"\s*\n\s*"), "")
+    repeated_lines = let(lines, lambda x: _level(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))
+    marks = _level(F.regexp_count(whole, F.lit(MARKS)), F.length(whole))
+
+    def shaped(w: Column) -> Column:
+        def found(d: Column) -> Column:
+            levels = {"marks": marks, "words": _level(F.size(w) - F.size(d), F.size(w)), "lines": repeated_lines}
+            return F.struct(F.size(w).cast("long").alias("n"), F.concat(d, F.array(*(F.xxhash64(F.lit(f"level of {name}"), x) for name, x in levels.items()))).alias("f"))
+
+        return let(F.array_distinct(w), found)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), shaped)
+
+
+def _g(a: Column, n_a: float, b: Column, n_b: float) -> Column:
+    """The G statistic of a feature's presence in ``a`` of ``n_a`` and ``b`` of ``n_b`` documents."""
+    share = (a + b) / F.lit(n_a + n_b)
+    term = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    return 2 * (term(a, n_a * share) + term(n_a - a, n_a * (1 - share)) + term(b, n_b * share) + term(n_b - b, n_b * (1 - share)))
+
+
+def learn(docs: DataFrame, sample: DataFrame) -> list[dict]:
+    """The telling features, the most telling first: hash ``f`` and log likelihood ratios ``r1``, ... (0: not telling)."""
+    half = sample.filter("not calibrates").drop("calibrates")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(half), "label_id")
+    # One row a text: copies of a text aren't independent.
+    known = saved(rows.select("k", F.xxhash64(text).alias("h"), features(F.col("text"))["f"].alias("f")).dropDuplicates(["k", "h"]), "known")
+    n = {r["k"]: float(r["n"]) for r in known.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = known.select("k", F.explode("f").alias("f")).groupBy("f").agg(*(F.count_if(F.col("k") == k).cast("double").alias(f"c{k}") for k in ALL))
+    first, found = n.get(0, 0.0), counts
+    for k in REST:
+        c, own = F.col(f"c{k}"), n.get(k, 0.0)
+        p = (c + F.col("c0")) / F.lit(max(own + first, 1.0))
+        ratio = F.log((c + p) / F.lit(own + 1.0)) - F.log((F.col("c0") + p) / F.lit(first + 1.0))
+        g = _g(c, own, F.col("c0"), first) if own and first else F.lit(0.0)
+        found = found.withColumn(f"g{k}", g).withColumn(f"r{k}", F.when(F.col(f"g{k}") >= TELLING, F.round(ratio, 6)).otherwise(0.0))
+    top = F.greatest(*(F.col(f"g{k}") for k in REST))
+    best = found.withColumn("g", F.round(top, 6)).filter(F.col("g") >= TELLING).orderBy(F.desc("g"), "f").limit(SELECTED)
+    return [r.asDict() for r in best.select("f", *(f"r{k}" for k in REST)).collect()]
+
+
+def cells(docs: DataFrame, telling: list[dict]) -> DataFrame:
+    """``docs`` without the text, with ``n_tokens`` and ``cell``, the place of its scores between ``EDGES``.
+
+    The features' table has ``SLOTS`` slots, each with at most one feature's whole hash;
+    of two in one slot, the more telling one stays.
+    """
+    table: dict[int, dict] = {}
+    for row in telling:
+        table.setdefault(row["f"] % SLOTS, row)
+    # Literals of a bounded size, folded by the optimizer.
+    column = lambda name, kind: F.split(F.lit(",".join(f"{table[s][name]}" if s in table else "0" for s in range(SLOTS))), ",").cast(f"array<{kind}>")
+    slot = lambda h: F.pmod(h, F.lit(SLOTS))
+    hits = F.filter("_f.f", lambda h: F.get(column("f", "bigint"), slot(h)) == h)
+
+    def score(name: str) -> Column:
+        return F.aggregate("_hits", F.lit(0.0), lambda a, h: a + F.get(column(name, "double"), slot(h)))
+
+    rows = docs.withColumn("_f", features(F.col("text"))).withColumn("_hits", hits)
+    rows = rows.withColumns({f"_s{k}": score(f"r{k}") for k in REST})
+    cell = sum((len(EDGES) + 1) ** (k - 1) * sum((F.col(f"_s{k}") > e).cast("int") for e in EDGES) for k in REST)
+    return saved(rows.withColumn("n_tokens", F.col("_f.n")).withColumn("cell", cell).drop("_f", "_hits", "text", *(f"_s{k}" for k in REST)), "cells")
+
+
+def cell_posteriors(rows: DataFrame, sample: DataFrame) -> dict[int, list[float]]:
+    """Each cell's posterior, from the sample's calibrating half: a bounded number of counts."""
+    half = sample.filter("calibrates").drop("calibrates")
+    known = rows.select(F.col("doc_id").cast("long").alias("label_id"), "cell").join(F.broadcast(half), "label_id")
+    bins, count = len(EDGES) + 1, {}
+    for r in known.groupBy("cell", "k").agg(F.count(F.lit(1)).alias("n")).collect():
+        count[r["cell"], r["k"]] = r["n"]
+    every = range(bins ** len(REST))
+    total = [1.0 + sum(count.get((c, k), 0) for c in every) for k in ALL]
+    prior = [x / sum(total) for x in total]
+    digit = lambda c, j: c // bins**j % bins
+
+    def margin(j: int, b: int) -> list[float]:
+        n = [sum(count.get((c, k), 0) for c in every if digit(c, j) == b) for k in ALL]
+        return [(x + SMOOTH * q) / (sum(n) + SMOOTH) for x, q in zip(n, prior, strict=True)]
+
+    out = {}
+    for c in every:
+        product = [prior[k] * math.prod(margin(j, digit(c, j))[k] / prior[k] for j in range(len(REST))) for k in ALL]
+        n = [count.get((c, k), 0) for k in ALL]
+        out[c] = [(x + SMOOTH * q / sum(product)) / (sum(n) + SMOOTH) for x, q in zip(n, product, strict=True)]
+    return out
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the text, with ``n_tokens`` and one posterior a domain: p0, p1, ..."""
+    """``docs`` without the text, with ``n_tokens``, ``cell`` and one posterior a domain: p0, p1, ..."""
     sample = sampled(labels)
-    prior, table = learn(docs, sample)
-    rest = range(1, len(DOMAINS))
-    # Log likelihood ratios against the first domain: one array each, folded to a literal by the optimizer.
-    ratio = {k: F.split(F.lit(",".join(f"{row[k] - row[0]:.4g}" for row in table)), ",").cast("array<double>") for k in rest}
-    rows = docs.withColumn("_f", features(F.col("text")))
-    sums = {f"s{k}": let(ratio[k], lambda t: F.aggregate("_f", F.lit(0.0), lambda a, f: a + F.get(t, f))) for k in rest}
-    rows = saved(rows.withColumns({"n_tokens": F.size("_f").cast("long")} | sums).drop("_f", "text"), "scores")
-    other = sample.filter("calibrates").select("label_id", "k")
-    grid = [(f, w) for f in FACTORS for w in WORDS]
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("factor"), F.lit(w).alias("words")) for i, (f, w) in enumerate(grid)))
-    # Half the sample times the grid: a bounded number of rows.
-    tested = rows.select("doc_id", "n_tokens", *sums).join(F.broadcast(other), F.col("doc_id") == F.col("label_id"))
-    tested = saved(tested, "tested").withColumn("g", F.explode(pairs)).select("*", "g.*")
-    scales = {k: (F.lit(0.0), F.lit(1.0)) for k in rest}
-    for k in rest:
-        p = _with_posterior(tested, prior, scales | {k: (F.col("factor"), F.col("words"))})
-        hit = F.when(F.col("k") == 0, F.col("p0")).when(F.col("k") == 1, F.col("p1")).otherwise(F.col("p2"))
-        loss = p.groupBy("i").agg(F.round(F.avg(-F.log(F.greatest(hit, F.lit(1e-12)))), 9).alias("loss")).collect()
-        best = min(loss, key=lambda r: (r["loss"], r["i"]))["i"] if loss else 0
-        scales[k] = (F.lit(grid[best][0]), F.lit(grid[best][1]))
-    return _with_posterior(rows, prior, scales)
-
-
-def _sums(rows: DataFrame, weight: Column) -> list[float]:
+    rows = cells(docs, learn(docs, sample))
+    known = cell_posteriors(rows, sample)
+    names = [f"p{k}" for k in ALL]
+    table = docs.sparkSession.createDataFrame([(c, *p) for c, p in known.items()], "cell int, " + ", ".join(f"{n} double" for n in names))
+    return rows.join(F.broadcast(table), "cell").select(*rows.columns, *names)
+
+
+def _sums(rows: DataFrame, weight: str) -> list[float]:
     """The domains' expected tokens under a rate."""
-    got = rows.agg(*(F.sum(weight * F.col("n_tokens") * F.col(f"p{k}")).alias(f"p{k}") for k in range(len(DOMAINS)))).first()
+    got = rows.selectExpr(*(f"sum({weight} * n_tokens * p{k}) AS p{k}" for k in ALL)).first()
     return [float(x or 0.0) for x in got]
 
 
+def _moved(steps: list[tuple[float, ...]], ridge: float) -> str:
+    """SQL for a row's point (x, y) after more steps: x the rate, y the rate with momentum, where the gradient is taken.
+
+    The steps are a literal, so that the plan and its compiled code are the same for all of them.
+    """
+    numbers = ",".join(repr(v) for step in steps for v in step)
+    at = lambda j: f"get(cast(split('{numbers}', ',') AS array<double>), i * {len(DOMAINS) + 1} + {j})"
+    pull = " + ".join(f"{at(k)} * p{k}" for k in ALL)
+    new = f"greatest(0D, a.y - ({pull} + {ridge!r}D * (a.y - 1D)) / {1.0 + ridge!r}D)"
+    move = f"transform(array({new}), v -> struct(v AS x, v + {at(len(DOMAINS))} * (v - a.x) AS y))[0]"
+    return f"aggregate(sequence(0, {len(steps) - 1}), struct(x, y), (a, i) -> {move})"
+
+
 def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: float = RIDGE, headroom: float = HEADROOM) -> tuple[DataFrame, dict]:
-    """``rows`` (n_tokens, p0, ...) with ``rate``, the domains' totals (had, target and got) and the steps.
+    """``rows`` (n_tokens, p0, ...) with ``rate``, and the domains' totals: had, target and got.
 
     A step needs the domain sums of the current point only, so the driver holds K
     numbers; the rates stay in the table, stored every ``STORE_EVERY`` steps.
     """
-    k_all = range(len(DOMAINS))
     weights = [(targets or TARGETS)[d] for d in DOMAINS]
-    had = _sums(rows, F.lit(1.0))
+    had = _sums(rows, "1D")
     total = sum(had)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had, "steps": []}
-    lead = max(k_all, key=lambda k: weights[k])
+        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had}
+    lead = max(ALL, key=lambda k: weights[k])
     goal = [headroom * had[lead] * w / weights[lead] for w in weights]
-    rate = 1.0 / (1.0 + ridge)
-    # x: the point; y: the point with momentum, where the gradient is taken.
-    state = rows.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(1.0))
-    momentum, got, steps = 1.0, had, []
-    sums_x, sums_y = had, had
-    for step in range(1, STEPS + 1):
-        pull = [(sums_y[k] - goal[k]) / had[k] if had[k] else 0.0 for k in k_all]
-        new = _stepped(F.col("y"), [F.lit(x) for x in pull], rate, ridge)
+    state = saved(rows.withColumns({"x": F.lit(1.0), "y": F.lit(1.0)}), "rates")
+    momentum, since = 1.0, []
+    got = sums_y = had
+    for _ in range(STEPS):
+        pull = [(sums_y[k] - goal[k]) / had[k] if had[k] else 0.0 for k in ALL]
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         beta = (momentum - 1) / after
-        state = state.withColumn("new", new).withColumn("y", F.col("new") + beta * (F.col("new") - F.col("x"))).drop("x").withColumnRenamed("new", "x")
         momentum = after
-        steps.append((*pull, beta))
-        if step % STORE_EVERY == 0:
-            state = saved(state, "rates")
-        got = _sums(state, F.col("x"))
-        sums_y = [g + beta * (g - s) for g, s in zip(got, sums_x, strict=True)]
-        moved = max(abs(g - s) for g, s in zip(got, sums_x, strict=True)) / total
-        sums_x = got
-        if moved < STILL:
+        since.append((*pull, beta))
+        new = _sums(state.selectExpr("*", f"{_moved(since, ridge)}.x AS _new"), "_new")
+        sums_y = [g + beta * (g - s) for g, s in zip(new, got, strict=True)]
+        still = max(abs(g - s) for g, s in zip(new, got, strict=True)) < STILL * total
+        got = new
+        if still or len(since) == STORE_EVERY:
+            state, since = _stored(state, since, ridge), []
+        if still:
             break
-    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": goal, "got": got, "steps": steps}
-
+    state = _stored(state, since, ridge) if since else state
+    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": goal, "got": got}
 
-def _stepped(y: Column, pull: list[Column], rate: float, ridge: float) -> Column:
-    """A rate after one projected gradient step from ``y``."""
-    return F.greatest(F.lit(0.0), y - rate * (sum(x * F.col(f"p{k}") for k, x in enumerate(pull)) + ridge * (y - 1)))
 
+def _stored(state: DataFrame, steps: list[tuple[float, ...]], ridge: float) -> DataFrame:
+    at = state.selectExpr("*", f"{_moved(steps, ridge)} AS _at")
+    return saved(at.withColumns({"x": F.col("_at.x"), "y": F.col("_at.y")}).drop("_at"), "rates")
 
-def rate_by_steps(steps: list[tuple[float, ...]], ridge: float = RIDGE) -> Column:
-    """The rate that ``fit_rates`` came to by these steps, from a row's own posteriors."""
-    k_all = range(len(DOMAINS))
-    made = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps)) if steps else F.array().cast("array<array<double>>")
 
-    def move(point: Column, step: Column) -> Column:
-        new = _stepped(point["y"], [F.get(step, k) for k in k_all], 1.0 / (1.0 + ridge), ridge)
-        return let(new, lambda x: F.struct(x.alias("x"), (x + F.get(step, len(DOMAINS)) * (x - point["x"])).alias("y")))
-
-    return F.aggregate(made, F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), move)["x"]
+def missed(info: dict, tolerance: float = 0.02) -> dict[str, float]:
+    """The domains whose expected tokens are off their target by more than ``tolerance``, with got / target."""
+    found = {d: g / t if t else math.inf for d, g, t in zip(DOMAINS, info["got"], info["target"], strict=True) if g or t}
+    return {d: x for d, x in found.items() if abs(x - 1) > tolerance}
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -198,17 +253,26 @@ def copies(rate: Column, *key: Column) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, dict]:
+    """``docs`` without the text, with tokens, posteriors, rate and copies; and the domains' totals."""
+    rows = posteriors(docs, labels)
+    # One row a cell: its documents have one posterior, hence one rate.
+    masses = rows.groupBy("cell", *(f"p{k}" for k in ALL)).agg(F.sum("n_tokens").alias("n_tokens"))
+    fitted, info = fit_rates(saved(masses, "masses"), targets)
+    rates = fitted.select(F.col("cell").alias("_cell"), "rate")
+    found = rows.join(F.broadcast(rates), F.col("cell") == F.col("_cell")).drop("_cell", "cell")
+    return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), info
+
+
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document's tokens, posteriors, rate and copies."""
-    fitted, _ = fit_rates(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels))
-    names = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return fitted.select("doc_id", "n_tokens", *names, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    found, _ = rated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    return found.select("doc_id", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", "copies")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents of the mixture with all their columns, each in as many rows as it has copies."""
     inner = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = posteriors(inner, labels)
-    _, info = fit_rates(rows.drop("_row"))
-    drawn = rows.withColumn("_copies", copies(rate_by_steps(info["steps"]), F.col("doc_id")).cast("int"))
-    return drawn.filter("_copies > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
+    drawn, _ = rated(inner, labels, targets)
+    drawn = drawn.withColumn("copies", F.col("copies").cast("int")).filter("copies > 0")
+    return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")

@@ -430,15 +430,6 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(got, info["got"], rtol=1e-6) and np.allclose(got, info["target"], rtol=0.02)
 
 
-def test_posteriors_tell_domains_apart(spark):
-    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
-    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
-    rows = mixing.posteriors(docs.select("doc_id", "text"), labels).toPandas().merge(labels.toPandas(), on="doc_id")
-    assert np.allclose(rows[["p0", "p1", "p2"]].sum(axis=1), 1)
-    good, poor = rows[(rows["quality"] == 1) & (rows["toxic"] == 0)], rows[(rows["quality"] == 0) & (rows["toxic"] == 0)]
-    assert good["p0"].mean() > poor["p0"].mean() and poor["p1"].mean() > good["p1"].mean()
-
-
 def test_rates_solve_the_problem(spark):
     """The fitted rates against projected gradient in numpy, run much longer."""
     rng = np.random.default_rng(0)
