@@ -15,22 +15,24 @@ learned from the labelled documents gives each document a posterior over domains
    by ``SMOOTH`` pseudo-documents of the product of its margins. So posteriors are
    calibrated against labels that the ratios haven't seen, noise in labels included.
 
-A document's rate x >= 0 is how often it enters the mixture. With n tokens and
-posterior p, the mixture's expected tokens of domain k are sum(x n p_k). The rates
-minimise
+A document's rate, from 0 to ``MOST``, is how often it enters the mixture. With n
+tokens and posterior p, the mixture's expected tokens of domain k are sum(x n p_k). The
+rates minimise
 
-    1/2 sum_k (sum(x n p_k) - target_k)^2 / had_k  +  ridge/2 sum(n (x - 1)^2)
+    1/2 sum_k (sum(x n p_k) - goal_k)^2 / w_k  +  ridge/2 sum(n (x - 1)^2)
 
-(had_k: the domain's expected tokens at rates 1) by projected gradient steps, whose
+(w_k: the greater of the goal and had_k, the domain's expected tokens at rates 1) by projected gradient steps, whose
 only global quantities are the K domain sums: each step is one aggregate over the
 stored rows. Steps are measured in tokens, so that a document's step does not depend
 on its length. Documents with one posterior thus have one rate, and their tokens are
 added up before the steps. The first term's curvature is similar to a stochastic
-matrix, whose largest eigenvalue is 1, and the step is 1 / (1 + ridge). Steps have
+matrix at most, whose largest eigenvalue is 1, and the step is 1 / (1 + ridge). Steps have
 momentum and stop when the sums no longer move.
 
 ``targets`` are the domains' weights. The total is such that the domain of the largest
-weight needs ``headroom`` times the tokens it has. Weights outside the cone that the
+weight needs ``headroom`` times the tokens it has; a domain's goal is its target, or
+``SUPPLY`` times its tokens if that is less, as a scarce domain can only be met by
+documents that hardly belong to it. Weights outside the cone that the
 posteriors span can't be met; ``missed`` names the domains that are off. ``copies``
 rounds a rate up or down by a hash of the document, so that the mixture's expected
 tokens are as fitted, and ``mix_documents`` gives the mixture itself: each document as
@@ -61,6 +63,8 @@ SELECTED, SLOTS, TELLING = 512, 1 << 13, 18.0
 EDGES = (0.5, 2.0, 4.0, 8.0, 16.0)
 SMOOTH = 1.0
 RIDGE, HEADROOM = 0.001, 1.02
+#: A domain is asked for at most so many times its tokens, and no document enters more often than this.
+SUPPLY, MOST = 1.25, 4.0
 STEPS, STORE_EVERY, STILL = 150, 25, 2e-6
 MARKS = "[!?#*$%&|<>]"
 REST = range(1, len(DOMAINS))
@@ -197,13 +201,13 @@ def _moved(steps: list[tuple[float, ...]], ridge: float) -> str:
     numbers = ",".join(repr(v) for step in steps for v in step)
     at = lambda j: f"get(cast(split('{numbers}', ',') AS array<double>), i * {len(DOMAINS) + 1} + {j})"
     pull = " + ".join(f"{at(k)} * p{k}" for k in ALL)
-    new = f"greatest(0D, a.y - ({pull} + {ridge!r}D * (a.y - 1D)) / {1.0 + ridge!r}D)"
+    new = f"least({MOST!r}D, greatest(0D, a.y - ({pull} + {ridge!r}D * (a.y - 1D)) / {1.0 + ridge!r}D))"
     move = f"transform(array({new}), v -> struct(v AS x, v + {at(len(DOMAINS))} * (v - a.x) AS y))[0]"
     return f"aggregate(sequence(0, {len(steps) - 1}), struct(x, y), (a, i) -> {move})"
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: float = RIDGE, headroom: float = HEADROOM) -> tuple[DataFrame, dict]:
-    """``rows`` (n_tokens, p0, ...) with ``rate``, and the domains' totals: had, target and got.
+    """``rows`` (n_tokens, p0, ...) with ``rate``, and the domains' totals: had, target, goal and got.
 
     A step needs the domain sums of the current point only, so the driver holds K
     numbers; the rates stay in the table, stored every ``STORE_EVERY`` steps.
@@ -212,14 +216,15 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: f
     had = _sums(rows, "1D")
     total = sum(had)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "got": had}
+        return rows.withColumn("rate", F.lit(1.0)), {"had": had, "target": had, "goal": had, "got": had}
     lead = max(ALL, key=lambda k: weights[k])
-    goal = [headroom * had[lead] * w / weights[lead] for w in weights]
+    target = [headroom * had[lead] * w / weights[lead] for w in weights]
+    goal = [min(t, SUPPLY * h) for t, h in zip(target, had, strict=True)]
     state = saved(rows.withColumns({"x": F.lit(1.0), "y": F.lit(1.0)}), "rates")
     momentum, since = 1.0, []
     got = sums_y = had
     for _ in range(STEPS):
-        pull = [(sums_y[k] - goal[k]) / had[k] if had[k] else 0.0 for k in ALL]
+        pull = [(sums_y[k] - goal[k]) / max(had[k], goal[k]) if had[k] else 0.0 for k in ALL]
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         beta = (momentum - 1) / after
         momentum = after
@@ -233,7 +238,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, ridge: f
         if still:
             break
     state = _stored(state, since, ridge) if since else state
-    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": goal, "got": got}
+    return state.withColumnRenamed("x", "rate").drop("y"), {"had": had, "target": target, "goal": goal, "got": got}
 
 
 def _stored(state: DataFrame, steps: list[tuple[float, ...]], ridge: float) -> DataFrame:

@@ -110,9 +110,10 @@ def test_query_by_hand(spark):
     n, p = np.array([want[r["doc_id"]][0] for r in got]), np.array([want[r["doc_id"]][1] for r in got])
     had, x = n @ p, np.ones(len(n))
     goal = mixing.HEADROOM * had[0] * np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) / mixing.TARGETS["good"]
+    goal = np.minimum(goal, mixing.SUPPLY * had)
     for _ in range(20_000):
-        x = np.maximum(0, x - (p @ (((x * n) @ p - goal) / had) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE))
-    loss = lambda x: 0.5 * (((x * n) @ p - goal) ** 2 / had).sum() + mixing.RIDGE / 2 * (n * (x - 1) ** 2).sum()
+        x = np.clip(x - (p @ (((x * n) @ p - goal) / np.maximum(had, goal)) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE), 0, mixing.MOST)
+    loss = lambda x: 0.5 * (((x * n) @ p - goal) ** 2 / np.maximum(had, goal)).sum() + mixing.RIDGE / 2 * (n * (x - 1) ** 2).sum()
     rate = np.array([r["rate"] for r in got])
     assert loss(rate) <= 1.05 * loss(x) and np.allclose((rate * n) @ p, (x * n) @ p, rtol=0.02)
 
@@ -142,3 +143,11 @@ def test_one_domain_labelled(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], LABEL)
     got = mixing.mix(docs, labels).collect()
     assert len(got) == 30 and all(r["p_good"] > 0.8 for r in got)
+
+
+def test_scarce_domain_costs_no_clean_documents(spark):
+    """A domain that hardly occurs is not met by thinning the rest or by repeating a few documents."""
+    rows = [(1000, 0.9999, 0.0001, 0.0)] * 50 + [(9000, 0.98, 0.02, 0.0)]
+    fitted, info = mixing.fit_rates(mixing.saved(spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double, p2 double"), "rows"))
+    rates = [r["rate"] for r in fitted.collect()]
+    assert min(rates) > 0.9 and max(rates) < 2 and "poor" in mixing.missed(info)

@@ -437,10 +437,10 @@ def test_rates_solve_the_problem(spark):
     n = rng.integers(1, 500, 400)
     df = spark.createDataFrame([(int(a), *map(float, q)) for a, q in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
     fitted, info = mixing.fit_rates(mixing.saved(df, "rows"))
-    had, goal, x = np.array(info["had"]), np.array(info["target"]), np.ones(400)
+    had, goal, x = np.array(info["had"]), np.array(info["goal"]), np.ones(400)
     for _ in range(3000):
-        x = np.maximum(0, x - (p @ (((x * n) @ p - goal) / had) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE))
-    loss = lambda x, n, sums: 0.5 * ((sums - goal) ** 2 / had).sum() + mixing.RIDGE / 2 * (n * (x - 1) ** 2).sum()
+        x = np.clip(x - (p @ (((x * n) @ p - goal) / np.maximum(had, goal)) + mixing.RIDGE * (x - 1)) / (1 + mixing.RIDGE), 0, mixing.MOST)
+    loss = lambda x, n, sums: 0.5 * ((sums - goal) ** 2 / np.maximum(had, goal)).sum() + mixing.RIDGE / 2 * (n * (x - 1) ** 2).sum()
     found = fitted.toPandas()
     assert loss(found["rate"], found["n_tokens"], np.array(info["got"])) <= 1.05 * loss(x, n, (x * n) @ p)
 
