@@ -43,6 +43,8 @@ PACKED = T.StructType(
         T.StructField("rest", T.BinaryType()),
     ]
 )
+#: Carried columns keep microseconds, with and without a zone.
+CARRIED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 MESSAGE = "bucket int, batch_id long, body binary"
 
 
@@ -53,6 +55,7 @@ class Batch:
         self.batch_id = int(row.batch_id)
         self.doc_ids = [None if pd.isna(i) else int(i) for i in row.doc_ids]
         lens = np.frombuffer(row.lens, dtype="<i8")
+        self.nulls = (lens < 0).tolist()
         body = zstandard.ZstdDecompressor().decompress(row.body) if len(row.body) else b""
         ends = np.cumsum(np.maximum(lens, 0)).tolist()
         self.texts = [body[b - max(n, 0) : b].decode("utf-8", "surrogatepass") for b, n in zip(ends, lens.tolist(), strict=True)]
@@ -72,7 +75,7 @@ class Batches:
         spark = docs.sparkSession
         self.spark, self.n = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = 2 * self.n
-        carried = F.to_json(F.struct(*rest)) if rest else F.lit("")
+        carried = F.to_json(F.struct(*rest), CARRIED) if rest else F.lit("")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("rest"))
         if ordered:
             rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -208,4 +211,4 @@ def gather(runs: list[tuple[int, slice]], total: int, answers: dict[int, bytes])
     return out
 
 
-__all__ = ["Batch", "Batches", "answered", "bits", "by_bucket", "gather", "told", "unbits"]
+__all__ = ["CARRIED", "Batch", "Batches", "answered", "bits", "by_bucket", "gather", "told", "unbits"]

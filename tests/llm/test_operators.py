@@ -129,7 +129,37 @@ def test_remove_repeats_keeps_columns(spark, odd):
     assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
     assert out.count() == len(odd)
     untouched = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert untouched[4] == "a b c" and untouched[2] == "   \n\t " and untouched[0] == ""
+    assert untouched[4] == "a b c" and untouched[2] == "   \n\t " and untouched[0] is None
+
+
+def test_remove_repeats_carries_any_type(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    df = spark.sql(f"SELECT id AS doc_id, '{passage}' AS text, timestamp'2024-01-02 03:04:05.123456' AS t, timestamp_ntz'2024-01-02 03:04:05.123456' AS u, date'2024-01-02' AS d, 1.5BD AS e, X'00ff' AS b, array(1, null) AS a, CAST(null AS int) AS n, named_struct('text', 'x', 'doc_id', 1) AS s FROM range(3)")
+    out = phrases.remove_repeats(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert [r.asDict() | {"text": None} for r in out.orderBy("doc_id").collect()] == [r.asDict() | {"text": None} for r in df.orderBy("doc_id").collect()]
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == [passage, "", ""]
+
+
+def test_removal_comes_from_the_dictionary(spark, table, monkeypatch):
+    """Without phrases in the shards nothing is removed, and only their occurrences are."""
+    texts = in_order(table)
+    body = "".join(t or "" for _, t in texts).encode()
+    batch = batches.Batch(SimpleNamespace(batch_id=0, doc_ids=[i for i, _ in texts], lens=np.array([len((t or "").encode()) for _, t in texts], dtype="<i8").tobytes(), body=zstandard.ZstdCompressor().compress(body)))
+    anchors = {k: phrases._answer_anchors([b])[0][0] for k, b in phrases._ask_anchors(2)(batch, {})}
+    windows = {k: phrases._answer_windows([b])[0][0] for k, b in phrases._ask_windows(2)(batch, {"anchors": anchors})}
+    answers = {"anchors": anchors, "windows": windows}
+    words_, shard = phrases.shard_of(batch, answers, 2)
+    at, _ = phrases.locate(words_, shard)
+    listed = [w for _, t in texts for w in words(t)]
+    doc = np.repeat(np.arange(len(texts)), words_.counts())
+    grams = Counter(tuple(listed[i : i + 20]) for i in range(len(listed) - 19) if doc[i] == doc[i + 19])
+    assert at.tolist() == [i for i in range(len(listed) - 19) if doc[i] == doc[i + 19] and grams[tuple(listed[i : i + 20])] > 1] and len(at)
+    assert phrases._removed(batch, answers, 2)[1].any()
+    none = {k: bytes(len(v)) for k, v in windows.items()}
+    assert not phrases._removed(batch, answers | {"windows": none}, 2)[1].any()
+    half = phrases.Shard(shard.keys, shard.tails, shard.earlier, shard.phrases[:0])
+    assert not len(phrases.locate(words_, half)[0])
 
 
 def test_window_hashes_match_words():
