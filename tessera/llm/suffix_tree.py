@@ -1,33 +1,32 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's upper states are contexts of 0, 1 or 2 preceding word classes (a class is
-a word's last byte, by kind, and whether it has bytes beyond ASCII): they give the
-next word's class, and words within a class go by their add-one unigram share. The
-lower states are contexts of 1 or 2 preceding words. All are learned from the corpus.
-A context of words with ``LEAST`` training occurrences or more is a candidate, at any
-size of the corpus, so the tree grows with the text. It is retained if its next-word
-distribution diverges from its parent's (its longest retained suffix): the mean gain
-in log probability of its own observations, each left out of the counts in turn, must
-reach ``GAIN``. A state's distribution is smoothed towards its parent's with as many
+The root's distribution is the add-one share of each word. The other states are
+contexts of 1 to ``DEPTH`` preceding words, learned from the training texts. A context
+with ``LEAST`` training occurrences or more is a candidate, at any size of the corpus,
+so the tree grows with the text. It is retained if its next-word distribution diverges
+from its parent's (the state of its longest retained suffix): the mean gain in log
+probability of its own observations, each left out of the counts in turn, must reach
+``GAIN``. For this test the parent's probabilities are rounded to a tenth of a nat. A
+state's distribution is smoothed towards its parent's with as many
 pseudo-observations, of ``MASSES``, as give it the most gain. A word is scored by the
 longest retained suffix of the words before it. A text ends with one end token, which
 is counted and scored.
 
-The counts are gathered by the rounds of ``batches``: words and classes, then word
-pairs under candidate contexts, then triples under candidate contexts of two. Values
-are counted in each batch before they move, and a batch gets back the counts of what
-stands in it. Only the table of class contexts, which has ``CLASSES``**3 entries at
-any size of the corpus, goes to the driver and to all tasks. A context that holds more
-than a quarter bucket's share of the corpus is dealt to several buckets by its next
-word; there are at most four times as many such contexts as buckets, and the driver
-adds up their gains.
+The counts are gathered by the rounds of ``batches``: words, then the next words of
+candidate contexts of one word, of two, and so on. Values are counted in each batch
+before they move, and a batch gets back the counts of what stands in it and the
+verdicts on its contexts, so no task holds the tree. A context that holds more than a
+quarter bucket's share of the corpus is dealt to several buckets by its next word;
+there are at most four times as many such contexts as buckets at each depth, and the
+driver adds up their gains.
 
-Words count as equal by 64-bit hashes of their A-to-Z-lowered bytes; next words in
-one context by 44 bits more.
+Words count as equal by 64-bit hashes of their A-to-Z-lowered bytes; next words in one
+context by 40 bits.
 
 Cases: a null or blank text has the end token alone; a null id counts as training;
-repeated rows are counted and scored each; with no training text every token is
-unknown; an empty table gives an empty result; other columns are ignored.
+repeated rows are counted and scored each; words in equal numbers are told apart by
+their hashes alone, so order and layout don't matter; with no training text every token
+is unknown; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +44,12 @@ from pyspark.sql import types as T
 from . import wordhash
 from .batches import Batch, Batches, answered, by_bucket, told
 
-#: Training occurrences that make a context a candidate; mean gain in nats that retains it.
-LEAST, GAIN = 50, 0.02
+#: Training occurrences that make a context a candidate; mean gain in nats that retains it; words of the longest context.
+LEAST, GAIN, DEPTH = 2, 0.02, 3
 #: Pseudo-observations from the parent that a state's distribution may have.
-MASSES = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0)
+MASSES = (1.0, 5.0, 25.0, 125.0, 625.0, 3125.0)
+#: Steps of a nat in which a parent's probabilities enter the test.
+NAT = 10
 FOLDS, HELD = 7, 2
 END = np.uint64(0xE0D0C0B0A0908070)
 U = np.uint64
@@ -92,57 +93,6 @@ def _unsqueeze(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: Word classes: 47 kinds of last byte, twice for words with other bytes than ASCII, and the end; padded to 96.
-CLASSES = 96
-END_CLASS = CLASSES - 1
-#: Mean gain in nats that retains a context of classes.
-CLASS_GAIN = 0.001
-
-
-def _kinds() -> np.ndarray:
-    """The kind of each byte value: letters, three marks, digits, sixteen kinds beyond ASCII, and the rest."""
-    kind = np.full(256, 46, dtype=np.uint8)
-    kind[0x61:0x7B] = np.arange(26)
-    kind[list(b".,")] = 26, 27
-    kind[list(b"!?")] = 28
-    kind[0x30:0x3A] = 29
-    kind[0x80:] = 30 + (np.arange(0x80, 0x100) & 15)
-    return kind
-
-
-_KINDS = _kinds()
-
-
-def word_classes(words: wordhash.Words) -> np.ndarray:
-    other = np.concatenate([[0], np.cumsum(words.buf >= 0x80)])
-    return _KINDS[words.buf[words.end - 1]] + np.uint8(47) * (other[words.end] > other[words.start]).astype(np.uint8)
-
-
-class _Classes:
-    """Class probabilities by the two classes before, from the corpus' counts."""
-
-    def __init__(self, table: np.ndarray, distinct: np.ndarray):
-        c2 = table.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
-        tokens = c2.sum(axis=(0, 1))
-        #: Add-one total of each class' words, unknown ones included.
-        self.total = tokens + distinct + 1.0
-        p0 = self.total / self.total.sum()
-        p1 = self._smoothed(c2.sum(axis=0), np.broadcast_to(p0, (CLASSES, CLASSES)))
-        parents = np.broadcast_to(p1, (CLASSES, CLASSES, CLASSES)).reshape(-1, CLASSES)
-        self.p = self._smoothed(c2.reshape(-1, CLASSES), parents).astype(np.float32).reshape(-1)
-
-    @staticmethod
-    def _smoothed(counts: np.ndarray, parents: np.ndarray) -> np.ndarray:
-        """Each row's distribution: its parent's, or its own where that is retained."""
-        n = counts.sum(axis=1)
-        left = np.maximum(n - 1, 0)[:, None]
-        gains = np.stack([(counts * np.log((np.maximum(counts - 1, 0) + m * parents) / ((left + m) * parents))).sum(axis=1) for m in MASSES])
-        best = np.array(MASSES)[gains.argmax(axis=0)]
-        keep = (n > 0) & (gains.max(axis=0) >= CLASS_GAIN * n)
-        own = (counts + best[:, None] * parents) / (n + best)[:, None]
-        return np.where(keep[:, None], own, parents)
-
-
 class _Tokens:
     """A batch's tokens: ``hash``, ``start`` of each document, ``train`` a token, and its distinct words."""
 
@@ -153,54 +103,36 @@ class _Tokens:
         self.n = np.diff(self.start)
         self.held = np.array([held_out(i) for i in batch.doc_ids], dtype=bool)
         self.train = np.repeat(~self.held, self.n)
-        self.keys, lead, self.entry = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.cls = np.insert(word_classes(words), words.first[1:], np.uint8(END_CLASS))
-        self.key_cls = self.cls[lead]
-        place = np.arange(len(self.hash)) - np.repeat(self.start[:-1], self.n)
-        before = lambda k: np.where(place >= k, np.roll(self.cls, k), END_CLASS).astype(np.int64)
-        self.cell = (before(2) * CLASSES + before(1)) * CLASSES + self.cls  # its place in the table of classes
-        #: Tokens that have one, or two, words before them.
-        self.after = {1: np.flatnonzero(place >= 1), 2: np.flatnonzero(place >= 2)}
+        self.keys, self.entry = np.unique(self.hash, return_inverse=True)
+        self.place = np.arange(len(self.hash)) - np.repeat(self.start[:-1], self.n)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.entry[self.train], minlength=len(self.keys))
 
 
-def _cells(k: int, buckets: int) -> slice:
-    """The bucket's part of the table of classes."""
-    return slice(k * CLASSES**3 // buckets, (k + 1) * CLASSES**3 // buckets)
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, whose high bytes are mostly zero."""
+    return np.diff(keys, prepend=U(0)).astype("<u8")
 
 
 def _ask_words(buckets: int):
     def make(batch: Batch, answers: dict):
         t = _Tokens(batch)
-        counts = t.counts()
-        cells = np.bincount(t.cell[t.train], minlength=CLASSES**3).astype("<u4")
-        runs = dict(by_bucket(t.keys, buckets))
-        for k in range(buckets):
-            run = runs.get(k, slice(0, 0))
-            yield k, struct.pack("<Q", run.stop - run.start) + t.keys[run].astype("<u8").tobytes() + _squeeze(counts[run].astype("<u4"), t.key_cls[run], cells[_cells(k, buckets)])
+        counts = t.counts().astype("<u4")
+        for k, run in by_bucket(t.keys, buckets):
+            yield k, _squeeze(_steps(t.keys[run]), counts[run])
 
     return make
 
 
-def _split_words(body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    (n,) = struct.unpack_from("<Q", body)
-    return np.frombuffer(body, "<u8", n, 8), _unsqueeze(body[8 + 8 * n :], "<u4", "u1", "<u4")
-
-
 def _answer_words(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
-    """Each word's training count in the corpus; to the driver, distinct words by class and the bucket's cells."""
-    split = [_split_words(b) for b in bodies]
-    every, lead, inverse = np.unique(np.concatenate([k for k, _ in split]), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([m[0] for _, m in split]).astype(np.float64), minlength=len(every)).astype("<i8")
-    cls = np.concatenate([m[1] for _, m in split])[lead]
-    cells = np.zeros(len(split[0][1][2]), dtype="<i8")
-    for _, m in split:
-        cells += m[2]
+    """Each word's training count in the corpus; to the driver, the bucket's tokens and distinct words."""
+    split = [_unsqueeze(b, "<u8", "<u4") for b in bodies]
+    every, inverse = np.unique(np.concatenate([np.cumsum(k, dtype=U) for k, _ in split]), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([c for _, c in split]).astype(np.float64), minlength=len(every)).astype("<i8")
     ends = np.cumsum([len(k) for k, _ in split])
     out = [_squeeze(total[inverse[e - len(k) : e]]) for e, (k, _) in zip(ends, split, strict=True)]
-    return out, _squeeze(np.bincount(cls[total > 0], minlength=CLASSES).astype("<i8"), cells)
+    return out, struct.pack("<QQ", int(total.sum()), int((total > 0).sum()))
 
 
 def _words(t: _Tokens, answers: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -223,7 +155,7 @@ class _Pairs:
         following = t.hash[at]
         salts = (1 + count / share).astype(np.uint64)
         group = wordhash.mix(context + (following % salts) * U(0xA24BAED4963EE407))
-        following = following >> U(20)
+        following = following >> U(24)
         order = np.lexsort((following, group))
         group, following = group[order], following[order]
         new_group = np.ones(len(order), dtype=bool)
@@ -247,13 +179,14 @@ class _Pairs:
             yield k, run, slice(int(a), int(b))
 
     def messages(self, buckets: int, parent: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """``parent``: the parent state's probability of each token of ``at``."""
-        cost = np.minimum(-np.log(parent[self.lead]) * 1000, 65535).astype("<u2")
+        """``parent``: the parent state's probability of each token of ``at``, the same wherever a pair stands."""
+        cost = np.rint(np.minimum(-np.log(parent[self.lead]) * NAT, 255)).astype("u1")
         for k, run, pairs in self.runs(buckets):
             sizes = np.bincount(self.group_of[pairs] - run.start, minlength=run.stop - run.start)
-            near = self.next[pairs]
-            ids = [(near & U(0xFFFFFFFF)).astype("<u4"), (near >> U(32)).astype("<u2")]
-            yield k, _squeeze(self.groups[run], self.context[run][self.salted[run]], self.salted[run].astype("u1"), self.count[run].astype("<i8"), sizes.astype("<u4"), *ids, cost[pairs], self.train[pairs].astype("<u4"))
+            near, salted = self.next[pairs], self.salted[run]
+            ids = [(near & U(0xFFFFFFFF)).astype("<u4"), (near >> U(32)).astype("u1")]
+            large = [self.context[run][salted], self.count[run][salted].astype("<i8")]
+            yield k, _squeeze(_steps(self.groups[run]), salted.astype("u1"), *large, sizes.astype("<u4"), *ids, cost[pairs], self.train[pairs].astype("<u4"))
 
     def answers(self, answers: dict[int, bytes], buckets: int, large: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The corpus' count of each distinct pair, and the verdict on each group's context."""
@@ -271,8 +204,9 @@ def _answer_pairs(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     A verdict is 0 for a context that isn't retained, else one more than the place
     of its pseudo-observations in ``MASSES``.
     """
-    split = [_unsqueeze(b, "<u8", "<u8", "u1", "<i8", "<u4", "<u4", "<u2", "<u2", "<u4") for b in bodies]
-    group = np.concatenate([np.repeat(m[0], m[4]) for m in split])
+    split = [_unsqueeze(b, "<u8", "u1", "<u8", "<i8", "<u4", "<u4", "u1", "u1", "<u4") for b in bodies]
+    own = [np.cumsum(m[0], dtype=U) for m in split]
+    group = np.concatenate([np.repeat(g, m[4]) for g, m in zip(own, split, strict=True)])
     near = np.concatenate([m[5].astype(U) | m[6].astype(U) << U(32) for m in split])
     cost = np.concatenate([m[7] for m in split])
     train = np.concatenate([m[8] for m in split]).astype(np.float64)
@@ -284,25 +218,23 @@ def _answer_pairs(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     pair = np.empty(len(order), dtype=np.int64)
     pair[order] = np.cumsum(new) - 1
     total = np.bincount(pair, weights=train)
-    parent = np.exp(-cost[order[new]] / 1000.0)
+    parent = np.exp(cost[order[new]] / -NAT)
     groups, of = group[order[new_group]], np.cumsum(new_group[new]) - 1
-    known = {}  # count, salted and context of each group, the same from every batch
-    every, first = np.unique(np.concatenate([m[0] for m in split]), return_index=True)
-    count = np.concatenate([m[3] for m in split])[first].astype(np.float64)
-    salted = np.concatenate([m[2] for m in split])[first].astype(bool)
-    for m in split:
-        known.update(zip(m[0][m[2].astype(bool)].tolist(), m[1].tolist(), strict=True))
-    assert np.array_equal(every, groups)
-    seen, others = np.maximum(total - 1, 0), count[of] - 1
+    # A context's count is that of its next words; large contexts are told theirs.
+    count, known = np.bincount(of, weights=total, minlength=len(groups)), {}
+    for g, m in zip(own, split, strict=True):
+        known.update(zip(g[m[1].astype(bool)].tolist(), zip(m[2].tolist(), m[3].tolist(), strict=True), strict=True))
+    salted = np.isin(groups, np.fromiter(known, dtype=U, count=len(known)))
+    count[salted] = [known[int(g)][1] for g in groups[salted]]
+    seen, others = np.maximum(total - 1, 0), np.maximum(count[of] - 1, 0)
     gains = np.stack([np.bincount(of, weights=total * np.log((seen + mass * parent) / ((others + mass) * parent)), minlength=len(groups)) for mass in MASSES])
     kept = np.where(salted, 0, _verdicts(gains, count)).astype(np.uint8)
     out, end = [], 0
-    for m in split:
+    for g, m in zip(own, split, strict=True):
         n = int(m[4].sum())
-        own = np.searchsorted(groups, m[0])
-        out.append(_squeeze(kept[own], total[pair[end : end + n]].astype("<i8")))
+        out.append(_squeeze(kept[np.searchsorted(groups, g)], total[pair[end : end + n]].astype("<i8")))
         end += n
-    large = [struct.pack(_LARGE, known[int(g)], int(c), *x) for g, c, x in zip(groups[salted], count[salted], gains[:, salted].T, strict=True)]
+    large = [struct.pack(_LARGE, *known[int(g)], *x) for g, x in zip(groups[salted], gains[:, salted].T, strict=True)]
     return out, b"".join(large)
 
 
@@ -311,7 +243,7 @@ _LARGE = f"<Qq{len(MASSES)}d"
 
 def _verdicts(gains: np.ndarray, count: np.ndarray) -> np.ndarray:
     best = gains.argmax(axis=0)
-    return np.where(gains.max(axis=0) >= GAIN * count, best + 1, 0)
+    return np.where((count > 0) & (gains.max(axis=0) >= GAIN * count), best + 1, 0)
 
 
 def _large(answers: DataFrame) -> dict[int, int]:
@@ -326,51 +258,53 @@ def _large(answers: DataFrame) -> dict[int, int]:
 
 
 class _Model:
-    """What a batch knows after its answers: probabilities by depth."""
+    """What a batch knows after its answers: the probability of each token by its longest retained suffix.
+
+    ``pairs`` are those of the next depth, whose answers aren't there yet.
+    """
 
-    def __init__(self, batch: Batch, answers: dict, buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
+    def __init__(self, batch: Batch, answers: dict, buckets: int, n: int, v: int, large: list[dict[int, int]]):
         self.t = t = _Tokens(batch)
-        self.share = max(n / (4 * buckets), 1.0)
+        share = max(n / (4 * buckets), 1.0)
         self.count = _words(t, answers["words"], buckets)[t.entry]
         self.root = (self.count + 1.0) / (n + v + 1.0)
-        self.p = classes.p[t.cell] * (self.count + 1.0) / classes.total[t.cls]
-        self.pair_count = np.zeros(len(t.hash), dtype=np.int64)
-        at = t.after[1]
-        at = at[self.count[at - 1] >= LEAST]
-        self.pairs = _Pairs(t, at, t.hash[at - 1], self.count[at - 1], self.share)
-        if "pairs" in answers:
-            self._learn(answers["pairs"], buckets, large.get(1, {}))
-            one = self.pair_count
-            at = t.after[2]
-            # The longer context is the pair that ends at the word before; its parent is the longest retained suffix.
-            at = at[one[at - 1] >= LEAST]
-            self.pairs = _Pairs(t, at, wordhash.mix(t.hash[at - 2] ^ U(0x2545F4914F6CDD1D)) + t.hash[at - 1], one[at - 1], self.share)
-        if "triples" in answers:
-            self._learn(answers["triples"], buckets, large.get(2, {}))
-
-    def _learn(self, answers: dict[int, bytes], buckets: int, large: dict[int, int]) -> None:
-        q = self.pairs
+        self.p, self.pairs = self.root.copy(), None
+        # The training count of the words that end at each token, as many as the depth; and the hash of as many before it.
+        grams, context = self.count, np.zeros(len(t.hash), dtype=U)
+        for depth in range(1, len(large) + 2):
+            before = np.roll(t.hash, depth)
+            context += before if depth == 1 else wordhash.mix(before ^ U(0x2545F4914F6CDD1D * depth % 2**64))
+            at = np.flatnonzero(t.place >= depth)
+            at = at[grams[at - 1] >= LEAST]
+            self.pairs = _Pairs(t, at, context[at], grams[at - 1], share)
+            if depth <= len(large):
+                grams = self._learn(self.pairs, answers[f"depth{depth}"], buckets, large[depth - 1])
+            if depth == DEPTH:
+                break
+
+    def _learn(self, q: _Pairs, answers: dict[int, bytes], buckets: int, large: dict[int, int]) -> np.ndarray:
         total, kept = q.answers(answers, buckets, large)
         mine, verdict = total[q.entry], kept[q.group_of][q.entry]
-        self.pair_count = np.zeros(len(self.p), dtype=np.int64)
-        self.pair_count[q.at] = mine
+        grams = np.zeros(len(self.p), dtype=np.int64)
+        grams[q.at] = mine
         mass = np.array([np.inf, *MASSES])[verdict]
         at, mass, mine, n = q.at[verdict > 0], mass[verdict > 0], mine[verdict > 0], q.count_at[verdict > 0]
         self.p[at] = (mine + mass * self.p[at]) / (n + mass)
+        return grams
 
 
-def _ask_pairs(buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
+def _ask_pairs(buckets: int, n: int, v: int, large: list[dict[int, int]]):
     def make(batch: Batch, answers: dict):
-        m = _Model(batch, answers, buckets, n, v, classes, large)
+        m = _Model(batch, answers, buckets, n, v, large)
         if len(m.pairs.at):
             yield from m.pairs.messages(buckets, m.p[m.pairs.at])
 
     return make
 
 
-def _score(buckets: int, n: int, v: int, classes: _Classes, large: dict[int, dict[int, int]]):
+def _score(buckets: int, n: int, v: int, large: list[dict[int, int]]):
     def make(batch: Batch, answers: dict) -> pd.DataFrame:
-        m = _Model(batch, answers, buckets, n, v, classes, large)
+        m = _Model(batch, answers, buckets, n, v, large)
         starts = m.t.start[:-1]
         return pd.DataFrame(
             {
@@ -391,13 +325,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Both scores of every document, by counts over all training documents."""
     batches = Batches(docs.select("doc_id", "text"), ordered=False)
     b = batches.buckets
-    words = answered(batches.send(_ask_words(b)), _answer_words, "words")
-    # One body a bucket: the buckets' cells, in order of bucket, are the table of classes.
-    parts = [_unsqueeze(x, "<i8", "<i8") for x in told(words)] or [[np.zeros(CLASSES, "<i8"), np.zeros(CLASSES**3, "<i8")]]
-    distinct, table = sum(x for x, _ in parts), np.concatenate([x for _, x in parts])
-    n, v, classes = int(table.sum()), int(distinct.sum()), _Classes(table, distinct)
-    pairs = answered(batches.send(_ask_pairs(b, n, v, classes, {}), words=words), _answer_pairs, "pairs")
-    large = {1: _large(pairs)}
-    triples = answered(batches.send(_ask_pairs(b, n, v, classes, large), words=words, pairs=pairs), _answer_pairs, "triples")
-    large[2] = _large(triples)
-    return batches.result(_score(b, n, v, classes, large), SCORES, words=words, pairs=pairs, triples=triples)
+    answers = {"words": answered(batches.send(_ask_words(b)), _answer_words, "words")}
+    counted = [struct.unpack("<QQ", x) for x in told(answers["words"])]
+    n, v = sum(x for x, _ in counted), sum(x for _, x in counted)
+    large: list[dict[int, int]] = []
+    for depth in range(1, DEPTH + 1):
+        found = answered(batches.send(_ask_pairs(b, n, v, large), **answers), _answer_pairs, f"depth{depth}")
+        large.append(_large(found))
+        answers[f"depth{depth}"] = found
+    return batches.result(_score(b, n, v, large), SCORES, **answers)

@@ -529,24 +529,69 @@ def test_suffix_tree_learns(spark, monkeypatch):
 @pytest.mark.parametrize("n", [10_000, 10**7, 10**10])
 def test_candidates_at_any_size(n):
     """A context that occurs often enough is a candidate however large the corpus is."""
-    texts = [f"often x{i}" for i in range(70) if not suffix_tree.held_out(i)] + ["rare y"] * 10
-    ids = [i for i in range(70) if not suffix_tree.held_out(i)] + [None] * 10
+    train = [i for i in range(70) if not suffix_tree.held_out(i)][: suffix_tree.LEAST]
+    texts = [f"often x{i}" for i in train] + ["rare y"]
+    ids = [*train, next(i for i in range(100, 200) if not suffix_tree.held_out(i))]
     body = zstandard.ZstdCompressor().compress("".join(texts).encode())
     batch = batches.Batch(SimpleNamespace(batch_id=0, doc_ids=ids, lens=np.array([len(t) for t in texts], dtype="<i8").tobytes(), body=body))
     answers = {k: suffix_tree._answer_words([body])[0][0] for k, body in suffix_tree._ask_words(2)(batch, {})}
-    classes = suffix_tree._Classes(np.zeros(suffix_tree.CLASSES**3), np.zeros(suffix_tree.CLASSES))
-    model = suffix_tree._Model(batch, {"words": answers}, 2, n, 100, classes, {})
-    places = model.t.start[: len(ids) - 10] + 1
-    assert len(places) >= suffix_tree.LEAST and set(places.tolist()) <= set(model.pairs.at.tolist())
-    assert not set((model.t.start[len(ids) - 10 : -1] + 1).tolist()) & set(model.pairs.at.tolist())
+    model = suffix_tree._Model(batch, {"words": answers}, 2, n, 100, [])
+    assert set(model.pairs.at.tolist()) == set((model.t.start[: len(train)] + 1).tolist())
 
 
-def test_class_states_are_distributions():
-    rng = np.random.default_rng(0)
-    table = rng.poisson(0.02, suffix_tree.CLASSES**3)
-    classes = suffix_tree._Classes(table, np.full(suffix_tree.CLASSES, 3))
-    sums = classes.p.reshape(-1, suffix_tree.CLASSES).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+def expected_tree_scores(texts):
+    """Scores by a tree in dictionaries."""
+    tokens = [(i, [*words((t or "").translate(LOWER)), None]) for i, t in texts]
+    count = Counter(w for i, ws in tokens for w in ws if not suffix_tree.held_out(i))
+    n, v = sum(count.values()), len(count)
+    following = {}
+    for i, ws in tokens:
+        if not suffix_tree.held_out(i):
+            for j, w in enumerate(ws):
+                for d in range(1, min(j, suffix_tree.DEPTH) + 1):
+                    following.setdefault(tuple(ws[j - d : j]), Counter())[w] += 1
+    mass = {}
+
+    def p(context, w):
+        for d in range(len(context), 0, -1):
+            c = context[len(context) - d :]
+            if c in mass:
+                own = following[c]
+                return (own[w] + mass[c] * p(c[1:], w)) / (own.total() + mass[c])
+        return (count[w] + 1) / (n + v + 1)
+
+    for c in sorted(following, key=len):
+        own = following[c]
+        if own.total() < suffix_tree.LEAST:
+            continue
+        q = {w: math.exp(-round(min(-math.log(p(c[1:], w)) * suffix_tree.NAT, 255)) / suffix_tree.NAT) for w in own}
+        gain = [math.fsum(x * math.log((x - 1 + m * q[w]) / ((own.total() - 1 + m) * q[w])) for w, x in own.items()) for m in suffix_tree.MASSES]
+        if max(gain) >= suffix_tree.GAIN * own.total():
+            mass[c] = suffix_tree.MASSES[gain.index(max(gain))]
+    assert any(len(c) == suffix_tree.DEPTH for c in mass) and any(len(c) == 1 for c in mass)
+    return sorted((repr(i), round(sum(math.log10(p(tuple(ws[max(0, j - suffix_tree.DEPTH) : j]), w)) for j, w in enumerate(ws)), 4)) for i, ws in tokens)
+
+
+def test_scores_equal_a_tree_by_hand(spark, odd, table, monkeypatch):
+    """Over several layouts: one batch, many batches, other partitions, contexts dealt to several buckets."""
+    for texts in (odd, table):
+        want = expected_tree_scores(texts)
+        for chars, parts in ((10**6, 1), (2000, 7), (300, 3)):
+            monkeypatch.setattr("tessera.llm.batches.CHARS", chars)
+            got = suffix_tree.score_documents(docs_of(spark, texts).repartition(parts)).collect()
+            assert sorted((repr(r["doc_id"]), round(r["score"], 4)) for r in got) == [(i, pytest.approx(x, abs=2e-3)) for i, x in want]
+
+
+def test_repeated_texts_are_told_apart(spark):
+    """Texts that occur twice score higher than those that occur once, in the whole corpus' model."""
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(80))) for i in range(600) if not suffix_tree.held_out(i)]
+    twins = [(1000 + i, t) for i, t in texts[:40] if not suffix_tree.held_out(1000 + i)]
+    rows = suffix_tree.score_documents(docs_of(spark, texts + twins)).collect()
+    twice = {i - 1000 for i, _ in twins} | {i for i, _ in twins}
+    per = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows}
+    assert min(x for i, x in per.items() if i in twice) > max(x for i, x in per.items() if i not in twice) + 0.3
 
 
 def test_sql_matches(spark, duck):
