@@ -10,8 +10,9 @@ certified, by Bonferroni over strata, signals and cutoffs, so with probability
 documents. The strictest certified cutoff is used; a signal without one rejects
 nothing. ``risk`` is an allowance for all signals together: each gets its share.
 
-Strata are languages, hashed to at most ``STRATA`` values, so the table of cutoffs
-has a fixed bound and can be broadcast.
+Strata are languages, a null one like an empty one. The table of cutoffs has a row for
+each language with a certified cutoff; no hint says how it is joined, so its size and
+hot languages are dealt with at run time.
 
 Cases: a null or blank text has no words, fails the base rule and is not kept; a
 null id is kept as such; repeated rows get equal verdicts; without labels nothing
@@ -32,7 +33,6 @@ WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-STRATA = 1024
 
 #: Signals in thousandths, each rejecting above a cutoff, with the grids that are tested.
 GRIDS = {
@@ -106,7 +106,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def stratum(col: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(col), F.lit(""))), F.lit(STRATA))
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -152,12 +152,11 @@ def cutoffs(marked: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
 def judge(signalled: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``signalled`` (from ``with_signals``, materialised) with ``_base_failed`` and ``_kept``."""
     marked = signalled.select(F.col(id_col).cast("long").alias("doc_id"), stratum(stratum_col).alias("stratum"), *(c.alias(n) for n, c in signals(F.col("_q")).items()))
-    # At most STRATA rows, so it may be broadcast at any size of the corpus.
     bounds = cutoffs(marked, labels, risk, delta).withColumnRenamed("stratum", "_s")
     rows = signalled.withColumn("_base_failed", base_failed(F.col("_q")["n_words"], F.col("_q")["n_repeat_words"])).withColumn("_stratum", stratum(stratum_col))
     rejected = [F.coalesce(c > F.col(f"{n}_cutoff"), F.lit(False)) for n, c in signals(F.col("_q")).items()]
     above = rejected[0] | rejected[1] | rejected[2]
-    joined = rows.join(F.broadcast(bounds), F.col("_stratum") == F.col("_s"), "left")
+    joined = rows.join(bounds, F.col("_stratum") == F.col("_s"), "left")
     return joined.withColumn("_kept", ~F.col("_base_failed") & ~above).drop("_s", "_stratum", *(f"{n}_cutoff" for n in GRIDS))
 
 

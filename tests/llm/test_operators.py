@@ -272,6 +272,19 @@ def test_quality_rules(spark, odd, table):
     assert quality_rules.quality(docs_of(spark, []), empty).count() == 0
 
 
+def test_strata_are_languages(spark, table):
+    """Each language, null included, has its own cutoffs, however many there are."""
+    clean = " ".join(f"clean{i}" for i in range(12))
+    noisy = " ".join(f"word{i}" for i in range(12)) + " $$$"
+    rows = [(10_000 * k + i, noisy if k % 2 else clean, None if k == 1 else f"l{k}") for k in range(4) for i in range(1500)]
+    rows += [(90_000 + k, noisy, None if k == 1 else f"l{k}") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i < 90_000], LABEL)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(df, labels).filter("doc_id >= 90000").collect()}
+    # Where clean documents have no symbols, a text with some goes; where they have them, it stays.
+    assert got == {90_000: False, 90_001: True, 90_002: False, 90_003: True}
+
+
 def test_binomial_tail(spark):
     df = spark.createDataFrame([(k, n) for n in (1, 5, 50, 800) for k in range(0, n + 1, max(1, n // 7))], "k long, n long")
     from pyspark.sql import functions as F
