@@ -143,6 +143,24 @@ def _words(t: _Tokens, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     return out
 
 
+def _ordered(group: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pairs by group and next word (40 bits), and where in it a group, and a pair, begins."""
+    order = np.argsort(group)
+    new_group = np.ones(len(order), dtype=bool)
+    new_group[1:] = np.diff(group[order]) != 0
+    rank = np.cumsum(new_group) - 1
+    if len(rank) and rank[-1] >= 1 << 24:
+        order = np.lexsort((following, group))
+        code = following[order]
+    else:  # both in one number
+        code = rank.astype(U) << U(40) | following[order]
+        inner = np.argsort(code)
+        order, code = order[inner], code[inner]
+    new = new_group.copy()
+    new[1:] |= np.diff(code) != 0
+    return order, new_group, new
+
+
 class _Pairs:
     """A batch's pairs of a candidate context and a next word.
 
@@ -156,17 +174,12 @@ class _Pairs:
         salts = (1 + count / share).astype(np.uint64)
         group = wordhash.mix(context + (following % salts) * U(0xA24BAED4963EE407))
         following = following >> U(24)
-        order = np.lexsort((following, group))
-        group, following = group[order], following[order]
-        new_group = np.ones(len(order), dtype=bool)
-        new_group[1:] = group[1:] != group[:-1]
-        new = new_group.copy()
-        new[1:] |= following[1:] != following[:-1]
+        order, new_group, new = _ordered(group, following)
         self.entry = np.empty(len(order), dtype=np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        self.next = following[new]
         self.lead = order[new]
-        self.groups = group[new_group]
+        self.next = following[self.lead]
+        self.groups = group[order[new_group]]
         self.group_of = np.cumsum(new_group[new]) - 1  # of each distinct pair
         first = order[new_group]
         self.context, self.count, self.salted = context[first], count[first], salts[first] > 1
@@ -210,11 +223,7 @@ def _answer_pairs(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     near = np.concatenate([m[5].astype(U) | m[6].astype(U) << U(32) for m in split])
     cost = np.concatenate([m[7] for m in split])
     train = np.concatenate([m[8] for m in split]).astype(np.float64)
-    order = np.lexsort((near, group))
-    new_group = np.ones(len(order), dtype=bool)
-    new_group[1:] = group[order][1:] != group[order][:-1]
-    new = new_group.copy()
-    new[1:] |= near[order][1:] != near[order][:-1]
+    order, new_group, new = _ordered(group, near)
     pair = np.empty(len(order), dtype=np.int64)
     pair[order] = np.cumsum(new) - 1
     total = np.bincount(pair, weights=train)
