@@ -169,13 +169,41 @@ def test_landing(spark, tmp_path):
     assert got == {"x.zip#a.txt": ("نص", None), "x.zip#b.txt": ("نص", None), "y.html": ("<html>", None), "z.zip": (None, "BadZipFile")}
 
 
-def test_parts(spark):
+PARTS = "id long, number int, year int, title string, lo int, hi int, kind string"
+
+
+def linked(spark, rows):
     from tessera.operators import parts
 
+    return {r["id"]: (r["part_of"], r["year"]) for r in parts.link_parts(spark.createDataFrame(rows, PARTS)).collect()}
+
+
+def test_parts(spark):
     made = [(277, 30, None, "كهرباء الريف", 1, 9), (278, 30, None, "كهرباء الريف", 10, 40), (280, 30, 2010, "قانون السير", 1, 60), (281, 30, 2010, "قانون السير", 61, 90), (290, 31, None, "وحيد", 1, 5)]
-    got = {r["id"]: (r["part_of"], r["year"]) for r in parts.link_parts(spark.createDataFrame(made, "id long, number int, year int, title string, lo int, hi int")).collect()}
-    assert got == {277: (278, None), 278: (None, None), 280: (None, 2010), 281: (280, 2010)}
-    assert parts.near_identical((1, 100), (1, 95)) and not parts.near_identical((1, 10), (1, 10))
+    assert linked(spark, [(*r, None) for r in made]) == {277: (278, None), 278: (None, None), 280: (None, 2010), 281: (280, 2010)}
+    assert linked(spark, []) == {}
+
+
+def test_parts_of_different_laws_stay_apart(spark):
+    """One number and year, but two instruments: nothing in the titles is shared."""
+    made = [(44, 15, 2008, "إحداث مؤسسة", 1, 30, "law"), (100, 15, 2008, "التطوير العقاري", 1, 12, "law")]
+    assert linked(spark, made) == {}
+    # A general title goes with both; regulations and other kinds don't.
+    general = [*made, (120, 15, 2008, "وثيقة قانونية سورية", 31, 50, "law")]
+    assert linked(spark, general) == {44: (None, 2008), 100: (44, 2008), 120: (44, 2008)}
+    other = [made[0], (45, 15, 2008, "إحداث مؤسسة", 31, 60, "decision"), (46, 15, 2008, "إحداث مؤسسة", 61, 70, "regulation")]
+    assert linked(spark, other) == {}
+    mixed = [made[0], (45, 15, 2008, "إحداث مؤسسة", 31, 60, "legislative_decree")]
+    assert linked(spark, mixed) == {44: (None, 2008), 45: (44, 2008)}
+
+
+def test_undated_parts_take_a_year(spark):
+    rows = [(1, 9, 1990, "نظام الضرائب", 1, 40, None), (2, 9, None, "ضرائب الدخل", 41, 50, None), (3, 9, None, "الدخل المقطوع", 51, 60, None), (4, 9, None, "", 3, 12, None), (5, 9, None, "السير المروري", 3, 12, None)]
+    got = linked(spark, rows)
+    # 2 shares a word with 1, 3 with 2; 4 has no title and lies inside 1; 5 has another subject.
+    assert got == {1: (None, 1990), 2: (1, 1990), 3: (1, 1990), 4: (1, 1990)}
+    # Nearly the same wide range is one law under two titles.
+    assert linked(spark, [(1, 9, 1990, "نظام الضرائب", 1, 100, None), (2, 9, 1990, "مكافحة التهريب", 1, 95, None)]) == {1: (None, 1990), 2: (1, 1990)}
 
 
 def test_package_is_written(spark, tmp_path):
