@@ -84,51 +84,84 @@ def article_range(text: str | None) -> tuple[int, int] | None:
     return (numbers[0], max(numbers)) if numbers else None
 
 
-# Kinds of instruments.
-KINDS = {"قانون": "law", "مرسوم": "decree", "مرسوم تشريعي": "legislative_decree", "قرار": "decision", "تعميم": "circular", "نظام": "regulation"}
-_KIND = "|".join(re.escape(k).replace("\\ ", r"\s+(?:ال)?") for k in sorted(KINDS, key=len, reverse=True))
-_YEAR = r"(?:لعام|لسنة|عام|سنة|تاريخ\s+[\d٠-٩]+\s*/\s*[\d٠-٩]+\s*/)\s*([\d٠-٩]{4})"
-_IDENTITY = re.compile(rf"(?:ال)?({_KIND})(?:\s+ال\w+)?\s*(?:ذي\s+)?(?:ال)?(?:رقم)?\s*[/(]?\s*([\d٠-٩]+)\s*[/)]?.{{0,30}}?{_YEAR}", re.S)
+# Kinds of instruments, without articles; a historic name stands for the same kind.
+KINDS = {
+    "مرسوم تشريعي": "legislative_decree", "مرسوم اشتراعي": "legislative_decree", "قانون أساسي": "basic_law", "قانون": "law", "مرسوم": "decree", "قرار جمهوري": "presidential_decision",
+    "قرار": "decision", "تعميم": "circular", "نظام داخلي": "bylaws", "نظام": "regulation", "تعليمات تنفيذية": "executive_instructions", "تعليمات": "instructions",
+}
+_KIND = "|".join(re.escape(k).replace("\\ ", r"\s+(?:ال)?").replace("ي", "[يى]") for k in sorted(KINDS, key=len, reverse=True))
+_NAMED = re.compile(rf"(?:ال)?({_KIND})")
+_HEAD = re.compile("|".join(sorted({k.split()[0] for k in KINDS})))
+_ISSUED = re.compile(r"الصادر[ةه]?\s+ب")
+# The most characters between a kind and its number, and between the number and its year.
+GAP, YEAR_GAP = 30, 20
+_NUMBER = re.compile(rf"(\D{{0,{GAP + 8}}}?)[/(]?\s*(\d+)")
+_YEAR = re.compile(rf"\D{{0,{YEAR_GAP}}}?(?:(?:لل?عام|لل?سنة|عام|سنة)\s*/?\s*(\d{{4}})|(?:ب?تاريخ|المؤرخ\s+في)\s*(?:\d{{1,2}}\s*/\s*\d{{1,2}}\s*/\s*(\d{{4}})|(\d{{4}})\s*/\s*\d{{1,2}}\s*/\s*\d{{1,2}}))")
+_SLASH, _DASH = re.compile(r"\s*/\s*(\d{4})(?!\d)"), re.compile(r"\s*[-–—]\s*(\d{4})(?!\d)")
 FIRST_YEAR, LAST_YEAR = 1920, 2100
 
 
-def _accepted(m: re.Match) -> tuple[str, int, int] | None:
-    kind = KINDS[" ".join(w.removeprefix("ال") for w in m[1].split())]
-    number, year = int(western(m[2])), int(western(m[3]))
-    return (kind, number, year) if number > 0 and FIRST_YEAR <= year <= LAST_YEAR else None
+def mentions(text: str, title: bool = False) -> list[tuple[str, int, int, int, int]]:
+    """(kind, number, year, start, end) of the instruments that a text names, in order.
+
+    A name is a kind, a gap, a number and a year. A gap that names another instrument
+    has that one's number, unless it says that the first was issued by it. In titles a
+    year may follow a slash or a dash directly; elsewhere only after the word "number"
+    and a slash, as such pairs stand for other things in running text.
+    """
+    plain, out, at = western(text), [], 0
+    for m in _NAMED.finditer(plain):
+        number = _NUMBER.match(plain, m.end())
+        if m.start() < at or not number:
+            continue
+        gap, marked = number[1], "رقم" in number[1]
+        if len(gap.replace("رقم", "")) > GAP + 2 or (_HEAD.search(gap) and not _ISSUED.search(gap)):
+            continue
+        year = _YEAR.match(plain, number.end()) or (_SLASH.match(plain, number.end()) if title or marked else None) or (_DASH.match(plain, number.end()) if title else None)
+        if not year:
+            continue
+        kind = KINDS[" ".join(w.removeprefix("ال").replace("ى", "ي") for w in m[1].split())]
+        n, y = int(number[2]), int(next(filter(None, year.groups())))
+        if n > 0 and FIRST_YEAR <= y <= LAST_YEAR:
+            out.append((kind, n, y, m.start(), year.end()))
+            at = year.end()
+    return out
 
 
 def identity(title: str | None, text: str | None = None) -> str | None:
     """``kind:number:year`` from the title, else from the first 500 characters of the text."""
-    for part in (title or "", (text or "")[:500]):
-        for m in _IDENTITY.finditer(bare(part)):
-            if found := _accepted(m):
-                return ":".join(map(str, found))
+    for part, is_title in ((title or "", True), ((text or "")[:500], False)):
+        if found := mentions(bare(part), is_title):
+            return ":".join(map(str, found[0][:3]))
     return None
 
 
 def references(text: str | None) -> list[tuple[str, int, int]]:
     """(key, start, end) of each distinct instrument a text names, at its first place."""
     found: dict[str, tuple[int, int]] = {}
-    for m in _IDENTITY.finditer(text or ""):
-        if ok := _accepted(m):
-            found.setdefault(":".join(map(str, ok)), m.span())
+    for kind, n, y, start, end in mentions(text or ""):
+        found.setdefault(f"{kind}:{n}:{y}", (start, end))
     return [(k, a, b) for k, (a, b) in found.items()]
 
 
-# Verbs and objects that tell a repeal from an amendment.
-_REPEAL = re.compile("يلغى|تلغى|يُلغى|ألغي|إلغاء|ملغى")
-_AMEND = re.compile("يعدل|تعدل|تعديل|يستبدل|يستعاض|يضاف|تضاف")
-_PART = re.compile(r"(?:المادة|المواد|الفقرة|البند|أحكام\s+المادة)")
+# Verbs of repeal and of amendment, parts of a law, and the closing clause that repeals whatever is contrary.
+REPEAL = ["يلغى", "تلغى", "يلغي", "تلغي", "ألغي", "ألغى", "الغي", "الغى", "إلغاء", "الغاء", "ملغى", "ينسخ", "تنسخ", "يوقف العمل", "توقف العمل", "ينهى العمل", "تنهى العمل"]
+AMEND = ["يعدل", "تعدل", "تعديل", "معدل", "استبدال", "يستبدل", "تستبدل", "استبدل", "يستعاض", "تستعاض", "تتميم", "إضافة", "اضافة", "يضاف", "تضاف", "يحذف", "تحذف"]
+PARTS = ["مادة", "مادتين", "مادتان", "مواد", "فقرة", "فقرتين", "فقرات", "بند", "بندين", "بنود", "فصل", "فصول", "باب", "جدول", "عبارة"]
+CONTRARY = r"(?:يلغى|تلغى|يلغي|تلغي)\s+(?:(?:جميع|كل|كافة)\s+)?(?:ال)?(?:أحكام|احكام|نصوص|نص|حكم)\s+(?:ال)?مخالف[ةه]?"
+_REPEAL, _AMEND, _CONTRARY = re.compile("|".join(REPEAL)), re.compile("|".join(AMEND)), re.compile(CONTRARY)
+_PART = re.compile(rf"(?:ال)?(?:{'|'.join(PARTS)})(?![ء-ي])")
+# Fixed value: the characters after a verb in which its object stands.
+OBJECT = 30
 
 
 def intent(context: str | None) -> str:
-    """repeal, amend or cite: a verb on a part only amends."""
-    plain = bare(context or "")
-    repeal = _REPEAL.search(plain)
-    if repeal and _PART.search(plain[repeal.end() : repeal.end() + 30]):
-        return "amend"
-    return "repeal" if repeal else "amend" if _AMEND.search(plain) else "cite"
+    """repeal, amend or cite: a verb on a part only amends, and the clause against contrary provisions repeals nothing by name."""
+    plain = _CONTRARY.sub(" ", bare(context or ""))
+    repeals = [bool(_PART.search(plain[m.end() : m.end() + OBJECT])) for m in _REPEAL.finditer(plain)]
+    if repeals and not all(repeals):
+        return "repeal"
+    return "amend" if repeals or _AMEND.search(plain) else "cite"
 
 
 _DATE = re.compile(r"([\d٠-٩]{1,2})\s*[/\-.]\s*([\d٠-٩]{1,2})\s*[/\-.]\s*([\d٠-٩]{4})")
@@ -177,6 +210,16 @@ def citation(raw: str | None) -> dict:
     return found | {"court": court, "year": year, "key": "|".join(str(x or "") for x in (court, found["number"], year, found["basis"])) if keyed else None, "confidence": round(score, 2)}
 
 
+# Fixed value: the characters before a reference that say what is done to it.
+BEFORE = 60
+
+
+def _strongest(text: str) -> str:
+    """The strongest intent that a text has towards any instrument it names: repeal, then amend, then cite."""
+    found = {intent(text[max(0, a - BEFORE) : a]) for _, a, _ in references(text)}
+    return next((x for x in ("repeal", "amend") if x in found), "cite")
+
+
 LEGAL = "doc_id long, identity string, n_articles int, first_article int, last_article int, issue_date string, hijri string, n_references int, intent string"
 
 
@@ -189,7 +232,7 @@ def legal_columns(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 text = text or ""
                 span, date = article_range(text), issue_date(text)
-                out.append((doc_id, identity(text.split("\n")[0], text), len(articles(text)), span and span[0], span and span[1], *date, len(references(text)), intent(text[:300])))
+                out.append((doc_id, identity(text.split("\n")[0], text), len(articles(text)), span and span[0], span and span[1], *date, len(references(text)), _strongest(text)))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEGAL.split(", ")])
             yield frame.astype({c: "Int32" for c in ("n_articles", "first_article", "last_article", "n_references")})
 

@@ -17,7 +17,7 @@ LEAST = 0.4
 SHORT, LONG = 20, 700
 
 _CITED = re.compile(r"[(\[«]([^()\[\]«»]*(?:قرار|أساس)[^()\[\]«»]*)[)\]»]")
-_ARTICLE = re.compile(r"(?:المادة|المادتين|المواد)\s*[/(]?\s*([\d٠-٩]+)\s*[/)]?\s*(?:من\s+(?:ال)?(قانون\s+[ء-ي]+(?:\s+[ء-ي]+)?))?")
+_ARTICLE = re.compile(r"(?:المادة|المادتين|المواد)\s*[/(]?\s*([\d٠-٩]+)\s*[/)]?\s*(?:من\s+(?:ال)?(قانون\s+[ء-ي]+(?:\s+(?!المادة|المواد)ال[ء-ي]+)?))?")
 _OVERRULED = re.compile(r"(?:العدول|عدلت|نعدل)\s+عن\s+[^.]*?قرار\s*(?:رقم)?\s*([\d٠-٩]+)(?:[^.]*?أساس\s*(?:رقم)?\s*([\d٠-٩]+))?")
 
 

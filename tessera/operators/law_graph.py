@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.legal import intent, references
+from ..functions.legal import KINDS, intent, references
 
 EDGES = "source_id long, target string, action string, place int"
 BEFORE, AFTER = 160, 60
@@ -73,6 +73,11 @@ def missing_targets(docs: DataFrame, found: DataFrame, limit: int | None = None)
 
 
 def queries_for(missing: DataFrame) -> DataFrame:
-    """Search strings for missing instruments."""
+    """Search strings for missing instruments, by the names of their kinds."""
     part = F.split("target", ":")
-    return missing.select("target", F.format_string("%s رقم %s لعام %s", F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.get(part, F.lit(2))).alias("query"))
+    named = {}
+    for words, kind in KINDS.items():
+        named.setdefault(kind, " ".join(f"ال{w}" for w in words.split()))
+    names = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))
+    name = F.coalesce(F.element_at(names, F.get(part, F.lit(0))), F.get(part, F.lit(0)))
+    return missing.select("target", F.format_string("%s رقم %s لعام %s سوريا نص كامل", name, F.get(part, F.lit(1)), F.get(part, F.lit(2))).alias("query"))

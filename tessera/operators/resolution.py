@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 #: A candidate with this many times the articles, and so many more, wins before any other criterion.
 TIMES, MORE = 3, 20
+#: The tier of a candidate without one.
+WORST_TIER = 4
 
 
 def wins(new: Column, old: Column) -> Column:
-    """Whether ``new`` replaces ``old``: overwhelming size, then tier, completeness and articles; a tie keeps the old."""
-    much = lambda a, b: (a["articles"] >= TIMES * b["articles"]) & (a["articles"] - b["articles"] >= MORE)
-    return (
-        F.when(much(new, old), True)
-        .when(much(old, new), False)
-        .when(new["tier"] != old["tier"], new["tier"] < old["tier"])
-        .when(new["complete"] != old["complete"], new["complete"])
-        .otherwise(new["articles"] > old["articles"])
-    )
+    """Whether ``new`` replaces ``old``: overwhelming size first, then the first criterion that differs; a tie keeps the old.
+
+    Candidates are structs of tier (the smaller, the better), complete, quality,
+    articles, hierarchy and length; a null counts as the least.
+    """
+    value = lambda c, name: F.coalesce(c[name].cast("double"), F.lit(0.0))
+    much = lambda a, b: (value(a, "articles") >= TIMES * F.greatest(value(b, "articles"), F.lit(1.0))) & (value(a, "articles") - value(b, "articles") >= MORE)
+    tier = lambda c: F.coalesce(c["tier"], F.lit(WORST_TIER))
+    decided = F.when(much(new, old), True).when(much(old, new), False).when(tier(new) != tier(old), tier(new) < tier(old))
+    for name in ("complete", "quality", "articles", "hierarchy", "length"):
+        decided = decided.when(value(new, name) != value(old, name), value(new, name) > value(old, name))
+    return decided.otherwise(False)
 
 
 def ordered_fold(rows: DataFrame) -> DataFrame:

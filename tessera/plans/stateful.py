@@ -86,12 +86,13 @@ def connected_components(spark, d):
 
 FOLD = """
 with recursive c as (select l_partkey as k, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as i, l_orderkey * 10 + l_linenumber as id,
- l_linenumber as tier, l_quantity::int as articles, l_returnflag = 'A' as complete from lineitem),
-f as (select k, i, id, tier, articles, complete, 0 as losses from c where i = 1
+ l_linenumber % 2 as tier, l_quantity::int as articles, l_returnflag = 'A' as complete, l_discount::double as quality, l_linestatus = 'O' as hierarchy, round(l_extendedprice)::int as length from lineitem),
+f as (select k, i, id, tier, articles, complete, quality, hierarchy, length, 0 as losses from c where i = 1
 union all select c.k, c.i,
- case when w then c.id else f.id end, case when w then c.tier else f.tier end, case when w then c.articles else f.articles end, case when w then c.complete else f.complete end, f.losses + w::int
- from (select f.*, (case when c.articles >= 3 * f.articles and c.articles - f.articles >= 20 then true when f.articles >= 3 * c.articles and f.articles - c.articles >= 20 then false
-  when c.tier <> f.tier then c.tier < f.tier when c.complete <> f.complete then c.complete else c.articles > f.articles end) as w from f join c on c.k = f.k and c.i = f.i + 1) f join c on c.k = f.k and c.i = f.i + 1)
+ case when w then c.id else f.id end, case when w then c.tier else f.tier end, case when w then c.articles else f.articles end, case when w then c.complete else f.complete end, case when w then c.quality else f.quality end, case when w then c.hierarchy else f.hierarchy end, case when w then c.length else f.length end, f.losses + w::int
+ from (select f.*, (case when c.articles >= 3 * greatest(f.articles, 1) and c.articles - f.articles >= 20 then true when f.articles >= 3 * greatest(c.articles, 1) and f.articles - c.articles >= 20 then false
+  when c.tier <> f.tier then c.tier < f.tier when c.complete <> f.complete then c.complete when c.quality <> f.quality then c.quality > f.quality
+  when c.articles <> f.articles then c.articles > f.articles when c.hierarchy <> f.hierarchy then c.hierarchy else c.length > f.length end) as w from f join c on c.k = f.k and c.i = f.i + 1) f join c on c.k = f.k and c.i = f.i + 1)
 select k, max_by(id, i) as survivor, max(i) as members, max_by(losses, i) as replaced from f group by 1"""
 
 
@@ -99,7 +100,10 @@ select k, max_by(id, i) as survivor, max(i) as members, max_by(losses, i) as rep
 def dedup_ordered_fold(spark, d):
     """The survivor of an ordered fold of each group; the comparator isn't transitive, so no maximum will do."""
     lines = table(spark, d, "lineitem")
-    candidate = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("tier"), F.col("l_quantity").cast("int").alias("articles"), (F.col("l_returnflag") == "A").alias("complete"))
+    candidate = F.struct(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 2).alias("tier"), F.col("l_quantity").cast("int").alias("articles"),
+        (F.col("l_returnflag") == "A").alias("complete"), F.col("l_discount").cast("double").alias("quality"), (F.col("l_linestatus") == "O").alias("hierarchy"), F.round("l_extendedprice").cast("int").alias("length"),
+    )
     return resolution.ordered_fold(lines.select(F.col("l_partkey").alias("k"), F.struct("l_orderkey", "l_linenumber").alias("order"), candidate.alias("c")))
 
 
