@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = getattr(shared_folder, "local", None) or tempfile.mkdtemp(prefix="tessera-")
         shared_folder.local = top
         spark.sparkContext.setCheckpointDir(top)
