@@ -11,8 +11,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a local one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("top", tempfile.mkdtemp(prefix="tessera-"))
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, under a local one, on one machine only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = _LOCAL.get("top") or _LOCAL.setdefault("top", tempfile.mkdtemp(prefix="tessera-"))
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
