@@ -357,3 +357,11 @@ def test_article_edges(spark):
     articles = spark.createDataFrame([("law:1:2000", n) for n in ("3", "9", "10")], "identity string, article string")
     got = {r["article"]: (r["state"], len(r["amended_by"] or [])) for r in ae.amended_articles(articles, edges, docs).collect()}
     assert got == {"3": ("amended", 1), "9": ("repealed", 1), "10": ("in_force", 0)}
+
+
+def test_holders(spark):
+    from tessera.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "xaa bb ccx"), (3, "bb"), (4, None), (5, "aa  bb cc")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "aa bb cc"), (2, "bb"), (3, "zz bb cc"), (4, "aa zz cc"), (5, None), (6, "b c")], "item_id long, text string")
+    assert sorted(tuple(r) for r in retrieval.holders(docs, asked).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 5), (6, 1), (6, 2), (6, 5)]
