@@ -75,7 +75,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed body, each with its length and type kept by the caller."""
     press = zstandard.ZstdCompressor(level=1)
     # Bytes of equal weight stand together, as high bytes of counts are mostly zero.
-    parts = [press.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()) if len(a) else b"" for a in arrays]
+    parts = [press.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T)) if len(a) else b"" for a in arrays]
     return struct.pack(f"<B{2 * len(parts)}Q", len(parts), *(x for a, p in zip(arrays, parts, strict=True) for x in (len(a), len(p)))) + b"".join(parts)
 
 
@@ -88,11 +88,27 @@ def _unsqueeze(body: bytes, *kinds: str) -> list[np.ndarray]:
             out.append(np.zeros(0, kind))
             continue
         raw = zstandard.ZstdDecompressor().decompress(body[at : at + size])
-        out.append(np.frombuffer(np.frombuffer(raw, np.uint8).reshape(-1, length).T.tobytes(), kind))
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, length).T).reshape(-1).view(kind))
         at += size
     return out
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place of each one in them."""
+    low = U(max(len(hashes) - 1, 1).bit_length())
+    # Numbers sort faster than their order is found, so places stand in the low bits.
+    order = (np.sort(hashes >> low << low | np.arange(len(hashes), dtype=U)) & ((U(1) << low) - U(1))).astype(np.int64)
+    found = hashes[order]
+    if (found[1:] < found[:-1]).any():  # two hashes that agree in their high bits
+        order = np.argsort(hashes)
+        found = hashes[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.diff(found) != 0
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return found[new], inverse
+
+
 class _Tokens:
     """A batch's tokens: ``hash``, ``start`` of each document, ``train`` a token, and its distinct words."""
 
@@ -103,7 +119,7 @@ class _Tokens:
         self.n = np.diff(self.start)
         self.held = np.array([held_out(i) for i in batch.doc_ids], dtype=bool)
         self.train = np.repeat(~self.held, self.n)
-        self.keys, self.entry = np.unique(self.hash, return_inverse=True)
+        self.keys, self.entry = _distinct(self.hash)
         self.place = np.arange(len(self.hash)) - np.repeat(self.start[:-1], self.n)
 
     def counts(self) -> np.ndarray:
@@ -143,22 +159,29 @@ def _words(t: _Tokens, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     return out
 
 
-def _ordered(group: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of pairs by group and next word (40 bits), and where in it a group, and a pair, begins."""
-    order = np.argsort(group)
-    new_group = np.ones(len(order), dtype=bool)
-    new_group[1:] = np.diff(group[order]) != 0
-    rank = np.cumsum(new_group) - 1
-    if len(rank) and rank[-1] >= 1 << 24:
-        order = np.lexsort((following, group))
-        code = following[order]
-    else:  # both in one number
-        code = rank.astype(U) << U(40) | following[order]
-        inner = np.argsort(code)
-        order, code = order[inner], code[inner]
-    new = new_group.copy()
-    new[1:] |= np.diff(code) != 0
-    return order, new_group, new
+def _ordered(rank: np.ndarray, minor: np.ndarray, ranks: int, minors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pairs of small numbers, and where in it a rank, and a pair, begins."""
+    n = len(rank)
+    low, place = U(max(minors - 1, 1).bit_length()), U(max(n - 1, 1).bit_length())
+    high = max(ranks - 1, 1).bit_length()
+    if high + int(low) > 64:
+        order = np.lexsort((minor, rank))
+        new_rank, new = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        new_rank[1:] = np.diff(rank[order]) != 0
+        new[1:] = new_rank[1:] | (np.diff(minor[order]) != 0)
+        return order, new_rank, new
+    code = rank.astype(U) << low | minor.astype(U)
+    if high + int(low) + int(place) > 64:
+        order = np.argsort(code)
+        code = code[order]
+    else:  # with the place, as numbers sort faster than their order is found
+        code = np.sort(code << place | np.arange(n, dtype=U))
+        order = (code & ((U(1) << place) - U(1))).astype(np.int64)
+        code >>= place
+    new_rank, new = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+    new_rank[1:] = np.diff(code >> low) != 0
+    new[1:] = np.diff(code) != 0
+    return order, new_rank, new
 
 
 class _Pairs:
@@ -168,21 +191,33 @@ class _Pairs:
     ordered by ``group`` (the context, and its salt if it is large) and ``next``.
     """
 
-    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, count: np.ndarray, share: float):
+    def __init__(self, t: _Tokens, at: np.ndarray, ids: np.ndarray, context: np.ndarray, count: np.ndarray, share: float):
+        """``ids``: small numbers that tell the contexts at ``at`` apart."""
         self.at, self.count_at = at, count
         following = t.hash[at]
-        salts = (1 + count / share).astype(np.uint64)
-        group = wordhash.mix(context + (following % salts) * U(0xA24BAED4963EE407))
-        following = following >> U(24)
-        order, new_group, new = _ordered(group, following)
+        # A context has as many slots as salts; hashes and their order are made once a slot.
+        one = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.int64)
+        one[ids] = np.arange(1, len(at) + 1)
+        salts = np.where(one > 0, 1 + count[one - 1] / share, 0).astype(np.int64) if len(at) else one
+        ends = np.cumsum(salts)
+        slot, owner = (ends - salts)[ids], np.repeat(one - 1, salts)
+        salt_at = salts[ids]
+        large = np.flatnonzero(salt_at > 1)
+        slot[large] += (following[large] % salt_at[large].astype(U)).astype(np.int64)
+        salt = np.arange(len(owner)) - np.repeat(ends - salts, salts)
+        group = wordhash.mix(context[owner] + salt.astype(U) * U(0xA24BAED4963EE407))
+        by_group = np.argsort(group)
+        rank = np.empty(len(group), dtype=np.int64)
+        rank[by_group] = np.arange(len(group))
+        order, new_group, new = _ordered(rank[slot], t.entry[at], len(group), len(t.keys))
         self.entry = np.empty(len(order), dtype=np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.lead = order[new]
-        self.next = following[self.lead]
-        self.groups = group[order[new_group]]
+        self.next = following[self.lead] >> U(24)
         self.group_of = np.cumsum(new_group[new]) - 1  # of each distinct pair
         first = order[new_group]
-        self.context, self.count, self.salted = context[first], count[first], salts[first] > 1
+        self.groups = group[slot[first]]
+        self.context, self.count, self.salted = context[first], count[first], salt_at[first] > 1
         self.train = np.bincount(self.entry[t.train[at]], minlength=len(self.next))
 
     def runs(self, buckets: int) -> Iterator[tuple[int, slice, slice]]:
@@ -219,16 +254,17 @@ def _answer_pairs(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     """
     split = [_unsqueeze(b, "<u8", "u1", "<u8", "<i8", "<u4", "<u4", "u1", "u1", "<u4") for b in bodies]
     own = [np.cumsum(m[0], dtype=U) for m in split]
-    group = np.concatenate([np.repeat(g, m[4]) for g, m in zip(own, split, strict=True)])
+    groups, rank = np.unique(np.concatenate(own), return_inverse=True)
     near = np.concatenate([m[5].astype(U) | m[6].astype(U) << U(32) for m in split])
     cost = np.concatenate([m[7] for m in split])
     train = np.concatenate([m[8] for m in split]).astype(np.float64)
-    order, new_group, new = _ordered(group, near)
+    sizes = np.concatenate([m[4] for m in split])
+    order, new_group, new = _ordered(np.repeat(rank, sizes), near, len(groups), 1 << 40)
     pair = np.empty(len(order), dtype=np.int64)
     pair[order] = np.cumsum(new) - 1
     total = np.bincount(pair, weights=train)
     parent = np.exp(cost[order[new]] / -NAT)
-    groups, of = group[order[new_group]], np.cumsum(new_group[new]) - 1
+    of = np.cumsum(new_group[new]) - 1
     # A context's count is that of its next words; large contexts are told theirs.
     count, known = np.bincount(of, weights=total, minlength=len(groups)), {}
     for g, m in zip(own, split, strict=True):
@@ -238,11 +274,11 @@ def _answer_pairs(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     seen, others = np.maximum(total - 1, 0), np.maximum(count[of] - 1, 0)
     gains = np.stack([np.bincount(of, weights=total * np.log((seen + mass * parent) / ((others + mass) * parent)), minlength=len(groups)) for mass in MASSES])
     kept = np.where(salted, 0, _verdicts(gains, count)).astype(np.uint8)
-    out, end = [], 0
-    for g, m in zip(own, split, strict=True):
-        n = int(m[4].sum())
-        out.append(_squeeze(kept[np.searchsorted(groups, g)], total[pair[end : end + n]].astype("<i8")))
-        end += n
+    out, head, end = [], 0, 0
+    for m in split:
+        heads, n = len(m[4]), int(m[4].sum())
+        out.append(_squeeze(kept[rank[head : head + heads]], total[pair[end : end + n]].astype("<i8")))
+        head, end = head + heads, end + n
     large = [struct.pack(_LARGE, *known[int(g)], *x) for g, x in zip(groups[salted], gains[:, salted].T, strict=True)]
     return out, b"".join(large)
 
@@ -279,15 +315,17 @@ class _Model:
         self.root = (self.count + 1.0) / (n + v + 1.0)
         self.p, self.pairs = self.root.copy(), None
         # The training count of the words that end at each token, as many as the depth; and the hash of as many before it.
-        grams, context = self.count, np.zeros(len(t.hash), dtype=U)
+        grams, context, ids = self.count, np.zeros(len(t.hash), dtype=U), t.entry
         for depth in range(1, len(large) + 2):
             before = np.roll(t.hash, depth)
             context += before if depth == 1 else wordhash.mix(before ^ U(0x2545F4914F6CDD1D * depth % 2**64))
             at = np.flatnonzero(t.place >= depth)
             at = at[grams[at - 1] >= LEAST]
-            self.pairs = _Pairs(t, at, context[at], grams[at - 1], share)
+            self.pairs = _Pairs(t, at, ids[at - 1], context[at], grams[at - 1], share)
             if depth <= len(large):
                 grams = self._learn(self.pairs, answers[f"depth{depth}"], buckets, large[depth - 1])
+                ids = np.zeros(len(t.hash), dtype=np.int64)
+                ids[at] = self.pairs.entry
             if depth == DEPTH:
                 break
 

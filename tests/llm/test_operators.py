@@ -600,6 +600,23 @@ def expected_tree_scores(texts):
     return sorted((repr(i), round(sum(math.log10(p(tuple(ws[max(0, j - suffix_tree.DEPTH) : j]), w)) for j, w in enumerate(ws)), 4)) for i, ws in tokens)
 
 
+def test_hashes_that_agree_in_their_high_bits():
+    hashes = np.array([5, 3, 5, 4, 3, 1 << 63], dtype=np.uint64)
+    keys, inverse = suffix_tree._distinct(hashes)
+    assert keys.tolist() == [3, 4, 5, 1 << 63] and keys[inverse].tolist() == hashes.tolist()
+
+
+@pytest.mark.parametrize("minors", [4, 1 << 40, 1 << 62, 1 << 64])
+def test_order_of_pairs_by_numbers_of_any_size(minors):
+    rank = np.array([1, 0, 1, 3, 0, 1, 0], dtype=np.int64)
+    minor = np.array([2, minors - 1, 0, 3, 1, 2, 1], dtype=np.uint64)
+    order, new_rank, new = suffix_tree._ordered(rank, minor, 4, minors)
+    found = list(zip(rank[order].tolist(), minor[order].tolist(), strict=True))
+    assert found == sorted(zip(rank.tolist(), minor.tolist(), strict=True))
+    assert new.tolist() == [i == 0 or found[i] != found[i - 1] for i in range(7)]
+    assert new_rank.tolist() == [i == 0 or found[i][0] != found[i - 1][0] for i in range(7)]
+
+
 def test_scores_equal_a_tree_by_hand(spark, odd, table, monkeypatch):
     """Over several layouts: one batch, many batches, other partitions, contexts dealt to several buckets."""
     for texts in (odd, table):
