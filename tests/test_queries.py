@@ -24,6 +24,17 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_fold_keeps_the_order_of_ties(spark, tmp_path):
+    """Lines of one order and number are folded as the table has them, within a file and over files."""
+    line = "select {k}l l_partkey, 7l l_orderkey, 1 l_linenumber, {q}d l_quantity, 'N' l_returnflag, 0.04d l_discount, 'F' l_linestatus, 10d l_extendedprice"
+    for file, lines in (("a", [(1, 40), (1, 34), (2, 34), (3, 40)]), ("b", [(2, 40), (3, 34)])):
+        made = spark.sql(" union all ".join(line.format(k=k, q=q) for k, q in lines)).toPandas()
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        made.to_parquet(tmp_path / "lineitem.parquet" / f"part-{file}.parquet")
+    got = registry.queries()["dedup_ordered_fold"](spark, str(tmp_path)).collect()
+    assert {r["k"]: r["replaced"] for r in got} == {1: 0, 2: 1, 3: 0}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
