@@ -100,11 +100,12 @@ select k, max_by(id, i) as survivor, max(i) as members, max_by(losses, i) as rep
 def dedup_ordered_fold(spark, d):
     """The survivor of an ordered fold of each group; the comparator isn't transitive, so no maximum will do.
 
-    Lines of one order and number stay in the table's order, by file and row.
+    Lines of one order and number stay in the table's order, by file and row. Quantities
+    are rounded half to even, as DuckDB casts doubles.
     """
     lines = table(spark, d, "lineitem")
     candidate = F.struct(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 2).alias("tier"), F.col("l_quantity").cast("int").alias("articles"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 2).alias("tier"), F.rint("l_quantity").cast("int").alias("articles"),
         (F.col("l_returnflag") == "A").alias("complete"), F.col("l_discount").cast("double").alias("quality"), (F.col("l_linestatus") == "O").alias("hierarchy"), F.round("l_extendedprice").cast("int").alias("length"),
     )
     return resolution.ordered_fold(lines.select(F.col("l_partkey").alias("k"), F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("order"), candidate.alias("c")))

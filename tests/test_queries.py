@@ -35,6 +35,19 @@ def test_fold_keeps_the_order_of_ties(spark, tmp_path):
     assert {r["k"]: r["replaced"] for r in got} == {1: 0, 2: 1, 3: 0}
 
 
+def test_fold_rounds_quantities_as_its_sql_does(spark, duck, tmp_path):
+    """Fractions of a quantity are rounded half to even, not cut off, before articles are compared."""
+    line = "select {k}l l_partkey, {n}l l_orderkey, 1 l_linenumber, {q}d l_quantity, 'N' l_returnflag, 0.04d l_discount, 'F' l_linestatus, 10d l_extendedprice"
+    pairs = {1: (33.6, 34.4), 2: (33.4, 33.6), 3: (34.5, 33.9), 4: (33.5, 34.5), 5: (7.4, 26.6), 6: (-3.6, -4.4), 7: (2.5, 2.4)}
+    lines = [line.format(k=k, n=n, q=q) for k, p in pairs.items() for n, q in enumerate(p)]
+    spark.sql(" union all ".join(lines)).toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    got = {r["k"]: r["replaced"] for r in registry.queries()["dedup_ordered_fold"](spark, str(tmp_path)).collect()}
+    c = duck()
+    c.sql(f"create or replace view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
+    want = c.sql(f"select k, replaced from ({registry.oracle_sql()['dedup_ordered_fold']})").fetchall()
+    assert got == dict(want) == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
